@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .html import op1_main_text
+from .pii import op3_pii
 from .topk import OP8_SQL, op8_exact_topk
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op3_pii": op3_pii,
     "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
