@@ -5,15 +5,18 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .html import op1_main_text
 from .pii import op3_pii
+from .substring import op5_substring_dedup
 from .topk import OP8_SQL, op8_exact_topk
 
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op3_pii": op3_pii,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_topk": OP8_SQL,
 }
