@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import dropped, shared_folder, written  # noqa: F401
+
 #: Entries that a worker's word cache may hold before it starts afresh; bounds the worker's memory.
 CACHE_ENTRIES = 400_000
 #: Words: everything between ASCII white space.
@@ -21,34 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "kinsieve-checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage is cut and any executor can be lost."""
-    path = f"{shared_folder(df.sparkSession)}/kinsieve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of written(df), which nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the doc_id as text, modulo n; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .html import op1_main_text
+from .jaccard import op6_jaccard_join
 from .pii import op3_pii
 from .substring import op5_substring_dedup
 from .topk import OP8_SQL, op8_exact_topk
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op3_pii": op3_pii,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
