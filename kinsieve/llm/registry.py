@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .decontaminate import OP7_SQL, op7_decontamination
 from .html import op1_main_text
 from .jaccard import op6_jaccard_join
 from .pii import op3_pii
@@ -14,11 +15,13 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_decontamination": op7_decontamination,
     "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
+    "op7_decontamination": OP7_SQL,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_topk": OP8_SQL,
 }
