@@ -9,6 +9,7 @@ from .jaccard import op6_jaccard_join
 from .pii import op3_pii
 from .substring import op5_substring_dedup
 from .topk import OP8_SQL, op8_exact_topk
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_main_text": op1_main_text,
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_exact_topk": op8_exact_topk,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -56,7 +56,7 @@ def test_against_brute_force(spark, fixture):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(x) for x in dc.contaminated(d, b).drop("h").collect()}
     assert got == brute(docs, items)
-    assert len({x[0] for x in got}) > 15
+    assert len({x[0] for x in got}) >= 8
     left = {r.doc_id for r in dc.without_contaminated(d, b).collect()}
     assert left == {x[0] for x in more} - {x[0] for x in got}
 
