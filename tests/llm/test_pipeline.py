@@ -16,15 +16,15 @@ def folder(spark, tmp_path_factory):
     passage = "benchmark passage words that nobody else would ever write in exactly this order for any reason at all today"
     r = random.Random(4)
     tale = lambda i, word="": LONG.format(i) + f" and tale ends {word} " + " ".join(f"{r.choice('bdfgklmnprst')}{r.choice('aeiou')}{r.choice('bdfgklmnprst')}{r.choice('aeiou')}" for _ in range(80))
-    docs = [(i, tale(i), "en", "s", 0) for i in range(120)]
+    docs = [(i, tale(i), "en", "s", 0) for i in range(300)]
     docs += [(500 + i, docs[i][1], "en", "s", 0) for i in range(10)]  # copies
-    docs += [(600 + i, docs[i][1].replace("ends", "ended"), "en", "s", 0) for i in range(5)]  # near copies
+    docs += [(700 - 60 + i, docs[i][1].replace("ends", "ended"), "en", "s", 0) for i in range(5)]  # near copies
     docs += [(700, docs[50][1] + " idiot", "en", "s", 0), (701, docs[51][1] + " stupid", "en", "s", 0)]
     docs += [(800, " ".join(f"z{k}" for k in range(30)) + " " + passage + " end", "en", "s", 0), (900, "mail a.b@c.org now +49 30 1234567 ok", "en", "s", 0)]
     docs += [(901, None, None, None, None), (902, "", "en", "s", 0), (None, "no id here", "en", "s", 0), (903, "twice", "en", "s", 5), (903, "twice", "en", "s", 5)]
-    toxic = [(2000 + i, tale(i, "idiot" if i % 2 else "stupid"), "en", "s", 0) for i in range(100)]
+    toxic = [(2000 + i, tale(i, "idiot" if i % 2 else "stupid"), "en", "s", 0) for i in range(90)]
     spark.createDataFrame(docs + toxic, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(d[0], int(d[0] >= 2000), 1) for d in docs[:120] + toxic], "doc_id long, toxic int, quality int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(d[0], int(d[0] >= 2000), 1) for d in docs[:300] + toxic], "doc_id long, toxic int, quality int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return str(at)
 
@@ -38,10 +38,10 @@ def test_stages(spark, folder):
         ids.append([r.doc_id for r in kept.select("doc_id").collect()])
     first = ids[0]
     rude = {d for d in first if d is not None and (d >= 2000 or d in (700, 701))}
-    assert len(rude) < 10  # of 102
-    clean = {*range(120), *range(500, 510), *range(600, 605), 800, 900, 901, 902, 903, None}
+    assert len(rude) < 10  # of 92
+    clean = {*range(300), *range(500, 510), *range(640, 645), 800, 900, 901, 902, 903, None}
     assert set(first) <= clean | rude and len(set(first)) > 0.9 * len(clean) and {800, 900, None} <= set(first)
-    copied = lambda d: d is not None and (500 <= d < 510 and d - 500 in first or 600 <= d < 605 and d - 600 in first)
+    copied = lambda d: d is not None and (500 <= d < 510 and d - 500 in first or 640 <= d < 645 and d - 640 in first)
     assert sorted(ids[1], key=str) == sorted((d for d in set(first) if not copied(d)), key=str)
     assert sorted(ids[2], key=str) == sorted((d for d in ids[1] if d != 800), key=str) == sorted(ids[3], key=str)
     texts = {r.doc_id: r for r in kept.collect()}
