@@ -16,15 +16,17 @@ def sample(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> DataF
 class Ftrl:
     """FTRL-proximal, one weight vector for each class (softmax), or one in all (logistic) if classes is 1."""
 
-    def __init__(self, dims: int, classes: int = 1, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, dims: int, classes: int = 1, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, positive: bool = False):
         self.z, self.n = np.zeros((dims + 1, classes)), np.zeros((dims + 1, classes))
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.alpha, self.beta, self.l1, self.l2, self.positive = alpha, beta, l1, l2, positive
 
     def weights(self, at=slice(None)) -> np.ndarray:
         """Of some features; the last one is the bias, which no penalty holds back."""
         z, n = self.z[at], self.n[at]
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         w[np.abs(z) <= self.l1] = 0.0
+        if self.positive:  # features only add
+            w[w < 0] = 0.0
         if isinstance(at, np.ndarray) and len(at) and at[-1] == len(self.z) - 1 or isinstance(at, slice):
             w[-1] = -z[-1] / ((self.beta + np.sqrt(n[-1])) / self.alpha)
         return w
