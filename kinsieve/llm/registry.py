@@ -6,6 +6,7 @@ from .bpe import op10_byte_bpe
 from .decontaminate import OP7_SQL, op7_decontamination
 from .html import op1_main_text
 from .jaccard import op6_jaccard_join
+from .language import op4_language
 from .pii import op3_pii
 from .substring import op5_substring_dedup
 from .topk import OP8_SQL, op8_exact_topk
@@ -14,6 +15,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
