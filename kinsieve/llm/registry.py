@@ -8,12 +8,14 @@ from .html import op1_main_text
 from .jaccard import op6_jaccard_join
 from .language import op4_language
 from .pii import op3_pii
+from .quality import op2_quality
 from .substring import op5_substring_dedup
 from .topk import OP8_SQL, op8_exact_topk
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
