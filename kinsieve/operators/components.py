@@ -40,15 +40,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Self edges make a component of one, repeated edges and null ends do nothing.
     """
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    loops = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
-    stars = written(pairs.where("u <> v").distinct())
-    loops = written(loops)
+    pairs = written(pairs.distinct())  # the edges are worked out once
+    loops, stars = pairs.where("u = v").select(F.col("u").alias("node")), pairs.where("u <> v")
     state = _state(stars)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
         after = written(_small_star(_large_star(stars)))
-        dropped(stars)
+        if hasattr(stars, "scratch_path"):
+            dropped(stars)
         stars, before, state = after, state, _state(after)
         if state == before:
             break
