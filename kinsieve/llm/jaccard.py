@@ -1,7 +1,7 @@
 """Operator 6: documents linked by the Jaccard similarity of their shingle sets, by a grouped prefix join.
 
-Shingles have one global order: first those of a hash class that the merged
-count-min sketch estimates unique, then its others, then the other hash class,
+Shingles have one global order: first those that a merged sketch of counts
+estimates unique, then any that it doesn't cover, then those estimated repeated,
 last the most frequent of all by count. Two sets with similarity >= t share a
 shingle within their first n - ceil(t n) + 1. Shingles estimated unique can't be
 shared, so most documents have no posting at all and drop out. Documents with
@@ -19,6 +19,8 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,26 +33,27 @@ from .common import Cache, hash64, mixed, read, shingled, written
 
 SHINGLE, PERCENT = 5, 80
 BASE = 0x9FB21C651E98DF25
-#: The hash class whose counts are sketched: wider than a prefix (1 - t), so that unique shingles fill it.
-SKETCHED = np.uint64(int(0.3 * 2**64))
-#: Frequent shingles come last by count: those often seen in some chunk of words, the most frequent MAX_FREQUENT of them.
-CHUNK, OFTEN, MAX_FREQUENT = 1_000_000, 6, 65_536
+#: The sketch's bitmap takes 2^MAX_BITS / 8 bytes at most; of larger inputs it covers a hash class.
+MAX_BITS = 28
+#: Words hashed at a time; shingles seen OFTEN among them are candidates for the heavy ones.
+CHUNK, OFTEN = 250_000, 4
 #: Shingles that one verifying task holds, about.
-UNIT_SHINGLES = 1_500_000
+UNIT_SHINGLES = 1_000_000
 
 
 def sets_of(batches, column: int, size: int):
     """(batch, first row, list of each row's sorted shingle hashes) for stretches of rows."""
     cache = Cache(hash64)
     for batch in batches:
-        texts = batch.column(column).to_pylist()
+        texts = batch.column(column)
         first, rows, n = 0, [], 0
-        for i, text in enumerate(texts):
+        for i in range(len(texts)):
+            text = texts[i].as_py()
             words = text.encode().lower().split() if text else []
             rows.append(words)
             n += len(words)
             if n >= CHUNK or i + 1 == len(texts):
-                hashes = np.fromiter((cache[w] for r in rows for w in r), np.uint64, n)
+                hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(rows)), np.uint64, n)
                 every = shingled(hashes, size, BASE)
                 sets, at = [], 0
                 for r in rows:
@@ -70,68 +73,58 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 class Order:
-    """The global order of shingles."""
-
-    def __init__(self, repeated: sketch.Repeated, frequent: list[int]):
-        self.repeated = repeated
-        ranked = np.array(frequent, np.int64).view(np.uint64)  # by count, rarest first
-        self.by_hash = np.argsort(ranked)
-        self.frequent = ranked[self.by_hash]
-
-    def prefix(self, shingles: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first shingles of a sorted set, and which of them may be shared."""
-        known = np.searchsorted(shingles, SKETCHED)
-        rank = np.full(len(shingles), 2, np.int64)
-        rank[:known] = self.repeated.test(shingles[:known])[0]
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, shingles), len(self.frequent) - 1)
-            hit = self.frequent[at] == shingles
-            rank[hit] = 3 + self.by_hash[at[hit]]
+    """The global order of shingles: estimated unique, not sketched, estimated repeated, heavy (rarest first)."""
+
+    def __init__(self, repeated: sketch.Repeated, sketched: float):
+        self.repeated, self.limit = repeated, np.uint64(min(2**64 - 1, int(sketched * 2**64)))
+        by_key = np.argsort(repeated.heavy)
+        self.heavy, self.heavy_rank = repeated.heavy[by_key], 3 + len(by_key) - by_key
+
+    def prefix(self, shingles: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first shingles of a sorted set, which of them may be shared, and all of the set that may be."""
+        known = np.searchsorted(shingles, self.limit, "right")
+        rank = np.ones(len(shingles), np.int64)
+        rank[:known] = 2 * self.repeated.test(shingles[:known])[0]
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, shingles), len(self.heavy) - 1)
+            hit = self.heavy[at] == shingles
+            rank[hit] = self.heavy_rank[at[hit]]
         order = np.argsort(rank, kind="stable")[:length]
-        return shingles[order], rank[order] > 0
+        return shingles[order], rank[order] > 0, shingles[rank > 0]
 
 
-def order_of(texts: DataFrame, size: int):
-    """The broadcast order for a column of texts, and the table of its sketches."""
-    spark = texts.sparkSession
+def order_of(texts: DataFrame, size: int) -> Order:
+    """The order for a column of texts."""
     texts = texts.toDF("text")
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = sketch.bits_for(chars / 6 * 0.3)
+    words = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    bits = sketch.bits_for(words, MAX_BITS)
+    sketched = min(1.0, 2**bits / max(1.0, words))  # about as many shingles as cells, at most
 
     def run(batches):
-        often: dict[int, int] = {}
+        heavy: dict[int, int] = {}
 
         def parts():
+            limit = np.uint64(min(2**64 - 1, int(sketched * 2**64)))
             for _, _, sets in sets_of(batches, 0, size):
-                every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                shingles, times = np.unique(every, return_counts=True)
+                shingles, times = np.unique(np.concatenate(sets), return_counts=True)
                 for s, n in zip(shingles[times >= OFTEN].tolist(), times[times >= OFTEN].tolist(), strict=True):
-                    often[s] = often.get(s, 0) + n
-                known = np.searchsorted(shingles, SKETCHED)
-                yield shingles[:known], np.minimum(times[:known], 2).astype(np.uint8), np.zeros(known, np.uint64)
+                    heavy[s] = heavy.get(s, 0) + n
+                known = np.searchsorted(shingles, limit, "right")
+                yield shingles[:known], times[:known], None
 
-        yield from sketch.pieces(parts(), bits, TaskContext.get().partitionId())
-        if often:  # rows -1: frequent shingles and their counts
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * len(often), pa.int32()), pa.array([0] * len(often), pa.int32()), pa.array(np.fromiter(often, np.uint64, len(often)).view(np.int64)), pa.array([b""] * len(often)), pa.array([n.to_bytes(8, "big") for n in often.values()]), pa.array([b""] * len(often))],
-                names=["row", "block", "part", "cells", "counts", "tags"],
-            )
+        yield from sketch.pieces(parts(), bits, TaskContext.get().partitionId(), rows=1, heavy=heavy)
 
-    found = written(texts.mapInArrow(run, sketch.PIECE))
-    count = F.expr("cast(conv(hex(counts), 16, 10) as bigint)")
-    frequent = found.where("row < 0").select(F.col("part").alias("s"), count.alias("n")).groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(MAX_FREQUENT)
-    order = Order(sketch.merged(found.where("row >= 0"), bits, texts.rdd.getNumPartitions()), [r.s for r in frequent.collect()][::-1])
-    return spark.sparkContext.broadcast(order), found
+    return Order(sketch.merged(texts.mapInArrow(run, sketch.PIECE), bits, texts.rdd.getNumPartitions()), sketched)
 
 
 def linked(table: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest (a, b) of the links between the sets of a table rep, shingles."""
-    reps = table.column("rep").to_pylist()
+    """A spanning forest (a, b) of the links between the sets of a table rep, n, shingles: the size, and all that may be shared."""
+    reps, n = table.column("rep").to_pylist(), table.column("n").to_pylist()
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), reps[i]))
-    sets, reps = [sets[i] for i in order], [reps[i] for i in order]
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = sorted(range(len(sets)), key=lambda i: (n[i], reps[i]))
+    sets, reps, sizes = [sets[i] for i in order], [reps[i] for i in order], np.array([n[i] for i in order])
+    held = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), held)
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[token] > 1
     # renumber by frequency, so that each set sorted by number has its rarest first
@@ -141,9 +134,10 @@ def linked(table: pa.Table, percent: int) -> pa.Table:
     df = np.sort(df, kind="stable")
     by_doc = np.lexsort((token, owner))
     token, shared = token[by_doc], shared[by_doc]
-    ends = np.cumsum(sizes)
-    within = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
-    in_prefix = within < np.repeat([prefix_length(int(n), percent) for n in sizes], sizes)
+    ends = np.cumsum(held)
+    # what was left at home is unique, so it would come first
+    within = np.arange(len(token)) - np.repeat(ends - sizes, held)
+    in_prefix = within < np.repeat([prefix_length(int(k), percent) for k in sizes], held)
 
     def postings(mask):
         t, o = token[mask], owner[mask]
@@ -160,7 +154,7 @@ def linked(table: pa.Table, percent: int) -> pa.Table:
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
     for x in range(1, len(sets)):
-        span = slice(ends[x] - sizes[x], ends[x])
+        span = slice(ends[x] - held[x], ends[x])
         mine = token[span][shared[span] & in_prefix[span]]
         seen = gathered(lists, cuts, mine)
         seen = seen[(seen < x) & (100 * sizes[np.minimum(seen, len(sets) - 1)] >= percent * sizes[x])]
@@ -184,18 +178,18 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, uni
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    order, pieces = order_of(docs.select("text"), size)
+    order = docs.sparkSession.sparkContext.broadcast(order_of(docs.select("text"), size))
 
     def run(batches):
         for batch, first, sets in sets_of(batches, 1, size):
             prints, prefixes, tokens, kept = [], [], [], []
             for s in sets:
-                head, shared = order.value.prefix(s, prefix_length(len(s), percent)) if len(s) else (s, np.empty(0, bool))
+                head, shared, may = order.value.prefix(s, prefix_length(len(s), percent)) if len(s) else (s, np.empty(0, bool), s)
                 weighed = [mixed(s + np.uint64(k)) for k in (1, 2)]
                 prints.append([int(np.bitwise_xor.reduce(weighed[0])), int(weighed[1].sum(dtype=np.uint64))] if len(s) else [0, 0])
                 prefixes.append(int(mixed(head + np.uint64(3)).sum(dtype=np.uint64)))
                 tokens.append(head[shared].view(np.int64))
-                kept.append(s.tobytes() if shared.any() else None)
+                kept.append(may.tobytes() if shared.any() else None)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), signed([p[0] for p in prints]), signed([p[1] for p in prints]), signed(prefixes), pa.array(tokens, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
@@ -203,38 +197,36 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, uni
             )
 
     rows = written(docs.mapInArrow(run, f"doc_id {kind}, n long, p1 long, p2 long, prefix long, tokens array<long>, shingles binary"))
-    open_rows = rows.where("shingles is not null and doc_id is not null")
-    classes = written(open_rows.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles")))
+    keys = ["p1", "p2", "n"]
+    # the sets themselves stay in the table until it is known which of them can link
+    open_rows = rows.where("size(tokens) > 0 and doc_id is not null")
+    classes = written(open_rows.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"), F.first(F.length("shingles")).alias("held")))
     groups = classes.groupBy("prefix", "n").agg(F.min("rep").alias("gid"), F.first("tokens").alias("tokens"))
     postings = groups.select("gid", F.explode("tokens").alias("token"))
     roots = postings.groupBy("token").agg(F.min("gid").alias("root"), F.count("*").alias("df")).where("df > 1")
     families = connected_components(postings.join(roots, "token").select("gid", "root").where("gid <> root"), "gid", "root").withColumnsRenamed({"node": "gid", "component": "family"})
-    group_ids = groups.select("prefix", "n", "gid")
-    placed = classes.select("prefix", "n", "rep", "shingles").join(group_ids, ["prefix", "n"]).join(families, "gid", "left").select("rep", "n", "shingles", F.coalesce("family", "gid").alias("family"))
+    placed = classes.select("prefix", *keys, "rep", "held").join(groups.select("prefix", "n", "gid"), ["prefix", "n"]).join(families, "gid", "left").select("rep", *keys, "held", F.coalesce("family", "gid").alias("family"))
     placed = written(placed)
-    sizes = placed.groupBy("family").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where("classes > 1").withColumn("blocks", F.ceil(F.col("total") / unit).cast("int"))
-    small = sizes.where("blocks = 1").agg(F.sum("total")).first()[0] or 0
-    buckets = max(1, -(-small // unit), min(2 * spark_parallelism(docs), small // 50_000))
+    sizes = placed.groupBy("family").agg(F.count("*").alias("classes"), (F.sum("held") / 8).alias("total")).where("classes > 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / unit)).cast("int"))
+    small = int(sizes.where("blocks = 1").agg(F.sum("total")).first()[0] or 0)
+    buckets = max(1, -(-small // unit), min(2 * docs.sparkSession.sparkContext.defaultParallelism, small // 50_000))
     # one task's sets: a bucket of small families, or two blocks of a large one
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = placed.join(sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     single = F.col("blocks") == 1
+    block, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sets = rows.where("size(tokens) > 0").select(F.col("doc_id").alias("rep"), *keys, "shingles")
+    dealt = sets.join(placed.join(sizes, "family"), ["rep", *keys]).select("family", "blocks", "rep", "n", "shingles", block.alias("block"), other)
     dealt = dealt.select(
         F.when(single, F.pmod(F.xxhash64("family"), F.lit(buckets)).cast(kind)).otherwise(F.col("family")).alias("f"),
-        F.when(single, -1).otherwise(F.least("block", "other")).alias("i"), F.when(single, -1).otherwise(F.greatest("block", "other")).alias("j"), "rep", "shingles",
+        F.when(single, -1).otherwise(F.least("block", "other")).alias("i"), F.when(single, -1).otherwise(F.greatest("block", "other")).alias("j"), "rep", "n", "shingles",
     )
     edges = dealt.groupBy("f", "i", "j").applyInArrow(lambda table: linked(table, percent), f"a {kind}, b {kind}")
     found = connected_components(edges)
-    ids = classes.select("p1", "p2", F.col("n"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
+    ids = classes.select(*keys, "rep").join(found, F.col("rep") == F.col("node"), "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
     return (
         rows.select("doc_id", "n", "p1", "p2").alias("r").join(ids.alias("c"), ["p1", "p2", "n"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
-def spark_parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read(spark, sf_dir, "documents", "doc_id", "text"))
