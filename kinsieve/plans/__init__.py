@@ -1,6 +1,9 @@
-"""Driver queries of the reference-side operators, each with its DuckDB twin."""
+"""Driver queries of the reference-side operators, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import media
+
+_ALL = (media,)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}
