@@ -14,6 +14,7 @@ from ..functions import numeric as N
 from ..functions import vectors as V
 from ..operators import blocking, groups, verdict
 from ..operators.components import connected_components
+from ..operators.scratch import written
 from ..options import SCALED as O  # noqa: N814
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -133,7 +134,9 @@ def gate_cascade(spark, sf_dir):
 
 
 def near_duplicate_groups(spark, sf_dir):
-    found = judged_pairs(spark, sf_dir).where("matched").select(F.col("a_file_id").alias("a_item"), F.col("b_file_id").alias("b_item"))
+    # written first: a filter on the verdict would be pushed below, and with it every distance computed again and again
+    judged = written(judged_pairs(spark, sf_dir).select("a_file_id", "b_file_id", "matched"))
+    found = judged.where("matched").select(F.col("a_file_id").alias("a_item"), F.col("b_file_id").alias("b_item"))
     members = groups.several_items(groups.item_groups(found))
     sizes = frame_files(spark, sf_dir).select(F.col("file_id").alias("item_id"), (F.size("frames") * 1000 - F.col("file_id") % 7).cast("long").alias("size"), F.col("file_id").alias("mtime"))
     return groups.ranked(members.join(sizes, "item_id")).select("group_id", "item_id", F.col("rank").cast("long").alias("rank"), "is_keeper")
