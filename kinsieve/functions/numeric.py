@@ -63,9 +63,9 @@ def workers(x: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     v = F.coalesce(n.cast("double"), F.lit(0.0))
-    out = F.concat(F.format_string("%.1f", v / float(1024**4)), F.lit(" TB"))
+    out = F.concat(F.format_string("%.1f", F.bround(v / float(1024**4), 1)), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(v < float(1024 ** (power + 1)), F.concat(F.format_string("%.1f", v / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(v < float(1024 ** (power + 1)), F.concat(F.format_string("%.1f", F.bround(v / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media
+from . import media, records
 
-_ALL = (media,)
+_ALL = (media, records)
 QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}
