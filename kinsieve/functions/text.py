@@ -120,7 +120,7 @@ def hrefs(html: Column) -> Column:
 
 def pair_list(entries: Column) -> Column:
     """Pairs a|b or a,b in text order of their ends; self pairs and halves dropped, each once."""
-    split = F.transform(entries, lambda e: F.filter(F.transform(F.split(F.replace(e, F.lit(","), F.lit("|")), r"\|"), F.trim), lambda x: x != ""))
+    split = F.transform(entries, lambda e: F.filter(F.transform(F.split(F.replace(e, F.lit(","), F.lit("|")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
     pairs = F.transform(F.filter(split, lambda p: F.size(p) >= 2), lambda p: F.array_sort(F.slice(p, 1, 2)))
     return F.array_distinct(F.filter(pairs, lambda p: F.get(p, F.lit(0)) != F.get(p, F.lit(1))))
 
