@@ -73,5 +73,7 @@ def batches(ids: DataFrame, key: str, size: int = 80) -> DataFrame:
     ranged = ids.repartitionByRange(F.length(key), key).sortWithinPartitions(F.length(key), key).withColumn("_part", F.spark_partition_id())
     place = F.row_number().over(Window.partitionBy("_part").orderBy(F.length(key), key))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.alias("x").join(F.broadcast(counts.alias("y")), F.col("y._part") < F.col("x._part"), "left").groupBy("x._part").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
+    # one row for each partition
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
     return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").select(key, F.floor((F.col("_place") - 1 + F.col("_before")) / size).alias("batch"))

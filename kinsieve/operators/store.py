@@ -47,13 +47,13 @@ def changed_updates(updates: DataFrame, current: DataFrame, key: str = "id", pro
 
     updates: update_id, key, props, status, local, ispreset; current: key, props. Batches under `least` rows pass whole.
     """
-    n = updates.agg(F.count("*").alias("_n"))
+    large = updates.count() >= least
     twice = updates.groupBy(key).agg((F.count("*") > 1).alias("_twice"))
     news = leaves(updates.select(F.struct("update_id", key).alias("u"), props), "u", props).select("u.update_id", F.col(f"u.{key}").alias(key), "path", "value")
     old = leaves(current, key, props)
     differs = news.join(old, [key, "path", "value"], "left_anti").select("update_id").distinct().withColumn("_differs", F.lit(True))
     known = current.select(key).distinct().withColumn("_known", F.lit(True))
-    joined = updates.join(twice, key, "left").join(differs, "update_id", "left").join(known, key, "left").crossJoin(F.broadcast(n))  # n is one row
+    joined = updates.join(twice, key, "left").join(differs, "update_id", "left").join(known, key, "left")
     queued = F.coalesce("status", F.lit("")).isin("pending", "downloading")
-    drop = (F.col("_n") >= least) & queued & ~F.coalesce("local", F.lit(False)) & ~F.coalesce("ispreset", F.lit(False)) & ~F.coalesce("_twice", F.lit(True)) & F.col("_known").isNotNull() & F.col("_differs").isNull()
+    drop = F.lit(large) & queued & ~F.coalesce("local", F.lit(False)) & ~F.coalesce("ispreset", F.lit(False)) & ~F.coalesce("_twice", F.lit(True)) & F.col("_known").isNotNull() & F.col("_differs").isNull()
     return joined.withColumn("keep", ~drop).select(*updates.columns, "keep")
