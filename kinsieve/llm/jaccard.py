@@ -36,9 +36,9 @@ BASE = 0x9FB21C651E98DF25
 #: The sketch's bitmap takes 2^MAX_BITS / 8 bytes at most; of larger inputs it covers a hash class.
 MAX_BITS = 28
 #: Words hashed at a time; shingles seen OFTEN among them are candidates for the heavy ones.
-CHUNK, OFTEN = 250_000, 4
+CHUNK, OFTEN = 250_000, 2
 #: Shingles that one verifying task holds, about.
-UNIT_SHINGLES = 1_000_000
+UNIT_SHINGLES = 1_500_000
 
 
 def sets_of(batches, column: int, size: int):
