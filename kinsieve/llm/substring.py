@@ -16,11 +16,12 @@ Windows are compared by 128 bits of hashes. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -28,7 +29,7 @@ from .common import Cache, dropped, hash64, mixed, read, shingled, written
 
 WIDTH, ANCHOR = 35, 8
 #: Words of the texts that are hashed at a time.
-CHUNK = 1_000_000
+CHUNK = 300_000
 BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
@@ -45,14 +46,15 @@ def chunks(batches, column: int):
     """(first row, words of each row, all words' hashes) for stretches of rows of about CHUNK words; rows count from 0 in each batch."""
     cache = Cache(hash64)
     for batch in batches:
-        texts = batch.column(column).to_pylist()
+        texts = batch.column(column)
         first, rows, n = 0, [], 0
-        for i, text in enumerate(texts):
+        for i in range(len(texts)):
+            text = texts[i].as_py()
             words = text.encode().split() if text else []
             rows.append(words)
             n += len(words)
             if n >= CHUNK or i + 1 == len(texts):
-                yield batch, first, rows, np.fromiter((cache[w] for r in rows for w in r), np.uint64, n)
+                yield batch, first, rows, np.fromiter(map(cache.__getitem__, chain.from_iterable(rows)), np.uint64, n)
                 first, rows, n = i + 1, [], 0
 
 
@@ -130,12 +132,10 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(docs.select("doc_id", "h", "text").mapInArrow(candidates, f"doc_id {kind}, h long, w0 int, n int, key long, span long, windows array<long>"))
     contents = found.groupBy("key", "span").agg(F.count("*").alias("times"), F.first("windows").alias("windows"))
-    total = F.sum("times").over(Window.partitionBy("key", "window"))
-    apart = (
-        contents.where(F.size("windows") > 0).select("key", "span", "times", F.posexplode("windows").alias("i", "window"))
-        .withColumn("total", total).where((F.col("times") == 1) & (F.col("total") > 1))
-        .groupBy("key", "span").agg(F.collect_set("i").alias("which"))
-    )
+    # a window of very many contents is summed before the shuffle, and its join rows can be split
+    inside = contents.where(F.size("windows") > 0).select("key", "span", "times", F.posexplode("windows").alias("i", "window"))
+    twice = inside.groupBy("key", "window").agg(F.sum("times").alias("total")).where("total > 1").select("key", "window")
+    apart = inside.where("times = 1").join(twice, ["key", "window"]).groupBy("key", "span").agg(F.collect_set("i").alias("which"))
     whole = contents.where("times > 1").select("key", "span", F.lit(None).cast("array<int>").alias("which"))
     marks = found.select("doc_id", "h", "w0", "n", "key", "span").join(whole.unionByName(apart), ["key", "span"])
     out = written(marks.groupBy("doc_id", "h").agg(F.collect_list(F.struct("w0", "n", "which")).alias("found")))
