@@ -132,7 +132,7 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(docs.select("doc_id", "h", "text").mapInArrow(candidates, f"doc_id {kind}, h long, w0 int, n int, key long, span long, windows array<long>"))
     contents = found.groupBy("key", "span").agg(F.count("*").alias("times"), F.first("windows").alias("windows"))
-    # a window of very many contents is summed before the shuffle, and its join rows can be split
+    # a window of very many contents is summed before the shuffle
     inside = contents.where(F.size("windows") > 0).select("key", "span", "times", F.posexplode("windows").alias("i", "window"))
     twice = inside.groupBy("key", "window").agg(F.sum("times").alias("total")).where("total > 1").select("key", "window")
     apart = inside.where("times = 1").join(twice, ["key", "window"]).groupBy("key", "span").agg(F.collect_set("i").alias("which"))
