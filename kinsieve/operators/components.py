@@ -1,9 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two grouped minima and two joins over the edge list, written to
-the shared folder; nothing but a count and a checksum reaches the driver. A hub
-is no bottleneck: its minimum is combined before the shuffle, and its join rows
-can be split.
+the shared folder; nothing but a count and a checksum reaches the driver. A
+hub's minimum is combined before the shuffle; its edges meet in one join task.
 """
 
 from __future__ import annotations
