@@ -7,8 +7,12 @@ fixes how document and item lie on each other; there the stretch around it is
 compared word by word, and a document is contaminated if WINDOW consecutive
 words of the item (all of a shorter one) agree in PERCENT of a hundred or more.
 
-Cases: null, empty and short texts hit nothing, items of fewer words than the
-shortest mask can't be found. Repeated rows count once; rows with one id and
+The masks hit every such alignment at the default WINDOW and PERCENT, whatever
+the length of the item (tests enumerate all layouts); other values keep the
+check but not that promise.
+
+Cases: null and empty texts hit nothing; items of up to four words are found as
+they are, longer ones with a fifth of their words replaced. Repeated rows count once; rows with one id and
 other texts are apart, and both appear under the id. Null ids are kept. Empty
 tables give an empty result. Extra columns are ignored.
 """
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Fixed masks: positions that count. Both still hit where every fifth word is another.
-MASKS = ("1101011", "11100111")
+#: Fixed masks: positions that count. The first two hit every layout of 3 substitutions in 15 words and of a fifth of an item of 7 to 14 words.
+MASKS = ("1111", "11101", "10111", "11011")
+#: Words of the items that need a mask, least and most. Items below the shortest of MASKS have masks of their own length.
+LENGTHS = {"1": (1, 1), "11": (2, 2), "111": (3, 3), **dict(zip(MASKS, ((4, 2**31 - 1), (5, 2**31 - 1), (5, 6), (5, 5)), strict=True))}
 WINDOW, PERCENT = 15, 80
 #: Benchmark seeds are broadcast up to this many (24 bytes each); beyond it the join shuffles.
 MAX_BROADCAST = 1_000_000
@@ -31,32 +37,35 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(words: Column, at: Column) -> Column:
-    """One (mask, hash) for each mask at a position."""
-    hashed = lambda k, mask: F.xxhash64(F.lit(k), *(F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"))
-    return F.array(*(F.when(at + len(mask) <= F.size(words), hashed(k, mask)) for k, mask in enumerate(MASKS)))
+def _seeds(words: Column, at: Column, masks: list[str], item: bool = False) -> Column:
+    """One hash for each mask at a position; of an item only for the masks that its length needs."""
+    hashed = lambda mask: F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"))
+    needed = lambda mask: F.size(words).between(*LENGTHS[mask]) if item else F.lit(True)
+    return F.array(*(F.when((at + len(mask) <= F.size(words)) & needed(mask), hashed(mask)) for mask in masks))
 
 
-def _positions(words: Column) -> Column:
-    last = F.size(words) - min(map(len, MASKS))
+def _positions(words: Column, masks: list[str]) -> Column:
+    last = F.size(words) - min(map(len, masks))
     return F.when(last >= 0, F.sequence(F.lit(0), last))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """doc_id, h (hash of the text), item_id, start (of the best window, in words), n_equal and n_window."""
     bench = items.select(F.col(item_key).alias("item_id"), words_of(F.col(item_text)).alias("item")).where(F.size("item") > 0)
-    seeds = bench.select("item_id", "item", F.explode(_positions(F.col("item"))).alias("p"))
-    seeds = seeds.select("item_id", "p", F.explode(_seeds(F.col("item"), F.col("p"))).alias("seed")).where("seed is not null")
+    # the item's longest extent; documents are hashed only by masks that some item needs
+    longest, *needed = bench.agg(F.max(F.size("item")), *(F.max(F.size("item").between(*LENGTHS[m])) for m in LENGTHS)).first()
+    longest, masks = longest or 0, [m for m, some in zip(LENGTHS, needed, strict=True) if some] or list(MASKS)
+    seeds = bench.select("item_id", "item", F.explode(_positions(F.col("item"), masks)).alias("p"))
+    seeds = seeds.select("item_id", "p", F.explode(_seeds(F.col("item"), F.col("p"), masks, item=True)).alias("seed")).where("seed is not null")
     bounded = seeds.count() <= MAX_BROADCAST
     small = F.broadcast if bounded else lambda df: df
 
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), words_of(F.col(text)).alias("words"))
-    d = d.select("doc_id", "h", "words", F.explode(_positions(F.col("words"))).alias("at"))
-    d = d.select("doc_id", "h", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed")).where("seed is not null")
+    d = d.select("doc_id", "h", "words", F.explode(_positions(F.col("words"), masks)).alias("at"))
+    d = d.select("doc_id", "h", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"), masks)).alias("seed")).where("seed is not null")
     lie = F.col("at") - F.col("p")
     hits = d.join(small(seeds), "seed").select("doc_id", "h", "item_id", lie.alias("lie"), F.greatest(lie, F.lit(0)).alias("from"), "words")
-    # the item's longest extent is not known here: its words follow after the join below
-    longest = bench.agg(F.max(F.size("item"))).first()[0] or 0
+    # the item's words follow after the join below
     hits = hits.select("doc_id", "h", "item_id", "lie", F.slice("words", F.col("from") + 1, F.lit(longest)).alias("piece"))
     stretches = hits.groupBy("doc_id", "h", "item_id", "lie").agg(F.first("piece").alias("piece"))
 

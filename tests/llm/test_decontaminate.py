@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -75,3 +76,41 @@ def test_no_python_in_the_plan(spark, fixture):
     d, b = (spark.createDataFrame(x, f"{k} long, text string") for x, k in zip(fixture, ("doc_id", "item_id")))
     plan = dc.without_contaminated(d, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_masks_hit_every_layout():
+    for n in range(1, dc.WINDOW + 1):
+        masks = [m for m, (least, most) in dc.LENGTHS.items() if least <= n <= most and len(m) <= n]
+        for out in combinations(range(n), n - -(-dc.PERCENT * n // 100)):
+            assert any(not {at + i for i, b in enumerate(m) if b == "1"} & set(out) for m in masks for at in range(n - len(m) + 1)), (n, out)
+
+
+def unseeded(docs, items):
+    """Every alignment, without seeds."""
+    out = set()
+    for d, text in docs:
+        w = words(text)
+        for i, other in items:
+            v = words(other)
+            n = min(len(v), dc.WINDOW)
+            found = []
+            for lie in range(1 - len(v), len(w)):
+                e = [int(0 <= lie + j < len(w) and w[lie + j] == v[j]) for j in range(len(v))]
+                found += [(-sum(e[j : j + n]), lie + j) for j in range(len(v) - n + 1)]
+            if found and -100 * min(found)[0] >= dc.PERCENT * n:
+                out.add((d, i, min(found)[1], -min(found)[0], n))
+    return out
+
+
+def test_every_alignment_is_found(spark):
+    r = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (*range(1, 16), 31)]
+    docs = [("a", " ".join(w if k % 4 else "other" for k, w in enumerate(items[-1][1].split()))), ("b", None), ("c", "")]
+    for n, text in items[:-1]:
+        layouts = list(combinations(range(n), n // 5)) + list(combinations(range(n), n // 5 + 1))
+        for out in layouts if n < 15 else r.sample(layouts, 60) + [(3, 7, 11), (6, 7, 8)]:
+            docs.append((f"{n} {out}", " ".join(["x", "y"] * r.randrange(2) + [w if k not in out else "other" for k, w in enumerate(text.split())] + ["z"] * r.randrange(2))))
+    d, b = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in dc.contaminated(d, b).drop("h").collect()}
+    assert got == unseeded(docs, items)
+    assert {"a", "15 (3, 7, 11)", "15 (6, 7, 8)", "1 ()", "6 (3,)"} <= {x[0] for x in got}
