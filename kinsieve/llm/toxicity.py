@@ -3,7 +3,9 @@
 A character trigram model counts the letters of the whole corpus. A token with
 leetspeak, repeated letters or letters set apart is a lattice: each sign may be
 itself, a letter it imitates, or nothing; each run of a letter one or two of it.
-Viterbi finds the likeliest path under the model and the channel's costs. A
+Viterbi finds the likeliest path under the model and the channel's costs. In
+letters set apart and in long runs without a separator, word boundaries are
+placed under the model too, and the words of every likely placing count. A
 linear model (FTRL, sparse) over the words of the text, as written and as
 restored, and their beginnings, learned from a bounded sample of labels, scores
 the text; its weights are not negative, so that no clean words hide a toxic one
@@ -45,7 +47,12 @@ SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€£¡(<.\-_*'·~^`].*[^\W\d_]|[0-9@$
 SPACED = re.compile(r"(?<!\w)[\w@$!|](?:[ .\-_*·~]+[\w@$!|](?!\w)){3,}(?!\w)")
 EDGE = re.compile(r"^[^\w@$!|+€£¡(<*]+|[^\w@$|+€£*]+$")
 DOUBLED = re.compile(r"([^\W\d_])\1+")
-LONGEST = 40  # longer tokens are no disguised words
+LONGEST = 40  # longer tokens are no single words: they are split at their separators, and what is left by likely word boundaries
+PIECE, OVERLAP = 2000, 80  # letters decoded at once, and how many of them the next piece repeats; bounds the worker's memory
+SEPARATOR = re.compile(r"(?:[^\w@$!|+€£¡*]|_)+")
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")  # scripts without spaces
+#: Words count that are this much less likely (natural logarithm) than the likeliest placing of word boundaries.
+MARGIN = 5.0
 
 
 def _classes() -> np.ndarray:
@@ -127,6 +134,37 @@ class Decoder:
             states = after
         return max((s + self.logs[a][b][0], text) for (a, b), (s, text) in states.items())[1]
 
+    def words(self, joined: str) -> set[str]:
+        """The likely words of letters without spaces, all of them: by pieces that overlap by more than a word."""
+        found = set()
+        for at in range(0, max(1, len(joined) - OVERLAP), PIECE - OVERLAP):
+            piece = joined[at : at + PIECE]
+            for letters in {self.restore(piece), *([piece] if piece.isalpha() else [])}:
+                found |= self.placed(letters)
+        return found
+
+    def placed(self, letters: str) -> set[str]:
+        """Words that stand in some way to place boundaries that is at most MARGIN less likely than the best one."""
+        n, c, logs = len(letters), [self.code.get(x, SIZE - 1) for x in letters], self.logs
+        inner = [0.0] * (n + 1)  # sums of the letters that have two of their word before them
+        for i in range(2, n):
+            inner[i + 1] = inner[i] + logs[c[i - 2]][c[i - 1]][c[i]]
+        starts = [logs[c[i - 1] if i else 0][0][c[i]] + (logs[0][c[i]][c[i + 1]] if i + 1 < n else 0.0) for i in range(n)]
+        ends = [0.0, *(logs[c[j - 2] if j > 1 else 0][c[j - 1]][0] for j in range(1, n + 1))]
+
+        def word(i: int, j: int) -> float:
+            if j == i + 1:
+                return logs[c[i - 1] if i else 0][0][c[i]] + logs[0][c[i]][0]
+            return starts[i] + inner[j] - inner[i + 2] + ends[j]
+
+        before, after = [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            before[j] = max(before[i] + word(i, j) for i in range(max(0, j - LONGEST), j))
+        for i in range(n - 1, -1, -1):
+            after[i] = max(word(i, j) + after[j] for j in range(i + 1, min(n, i + LONGEST) + 1))
+        least = before[n] - MARGIN
+        return {letters[i:j] for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if before[i] + word(i, j) + after[j] >= least}
+
 
 def _hashed(text: str) -> int:
     return xxhash.xxh32_intdigest(text) % DIMS
@@ -147,14 +185,32 @@ class Words:
 
     def one(self, token: str) -> tuple[int, ...]:
         bare = EDGE.sub("", token)
-        if not bare or len(bare) > LONGEST:
-            return tuple(self.features(bare[:LONGEST])) if bare else ()
+        if not bare:
+            return ()
+        grams = {_hashed(run[i : i + k]) for run in UNSPACED.findall(bare) for k in (2, 3, 4, 5) for i in range(len(run) - k + 1)}
+        if len(bare) > LONGEST:
+            return tuple(self.parts(bare) | grams)
+        return tuple(self.short(token, bare) | grams)
+
+    def parts(self, bare: str) -> set[int]:
+        """Of a long token: itself, and all words between its separators or likely boundaries."""
+        found = set(self.features(bare))
+        for part in set(SEPARATOR.split(bare)):
+            if len(part) <= LONGEST:
+                inner = EDGE.sub("", part)
+                found |= self.short(part, inner) if inner else set()
+            elif any(c.isalpha() for c in part):
+                for word in self.decoder.words(part):
+                    found.update(self.features(word))
+        return found
+
+    def short(self, token: str, bare: str) -> set[int]:
         forms = {re.sub(r"[^\w]+", "", bare)}
         if SUSPECT.search(token):
             forms |= {self.decoder.restore(bare), self.decoder.restore(EDGE.sub("", token.rstrip("!|.,;:?\"')")))}
         if DOUBLED.search(bare):
             forms.add(DOUBLED.sub(r"\1", bare))
-        return tuple({f for form in forms if form for f in self.features(form)})
+        return {f for form in forms if form for f in self.features(form)}
 
     def tokens(self, text: str | None) -> set[str]:
         if not text:
@@ -170,7 +226,8 @@ class Words:
             yield self.cache[token] if token[-1] != "\0" else self.spaced(token[:-1])
 
     def spaced(self, joined: str) -> tuple[int, ...]:
-        return tuple({*self.features(joined), *self.features(self.decoder.restore(joined[:LONGEST]))})
+        whole = {joined, self.decoder.restore(joined)} if len(joined) <= LONGEST else {joined}
+        return tuple({f for word in whole | self.decoder.words(joined) for f in self.features(word)})
 
 
 @dataclass

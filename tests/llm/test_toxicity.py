@@ -53,6 +53,22 @@ def test_disguised_words_score_like_plain_ones(model):
         assert score(f"{clean} {disguised} golish") >= tx.THRESHOLD, disguised
 
 
+def test_no_part_of_a_text_is_cut_off(model):
+    score = model.scorer()
+    clean = "bander/toring/milate/seron/golish/banish/toron/goling/"
+    glued = "bandertoringmilateserongolishbanishtorongolingmilish"
+    assert len(clean) > tx.LONGEST < len(glued)
+    for text in (clean, glued, "a b a n d e r", "i n t h i s p l a c e"):
+        assert score(text) < tx.THRESHOLD, text
+    for sign in "/.-_,":
+        for word in ("stupid", "1d10t", "MORON"):
+            assert score(f"{clean.replace('/', sign)}{word}{sign}golish") >= tx.THRESHOLD, (sign, word)
+    for text in (f"{glued}stupid{glued}", f"{glued * 60}idiot{glued}", "a s t u p i d", "a l l i d i o t", "i n t h i s p l a c e o f w o r d s a l l s t u p i d u s a l l"):
+        assert score(text) >= tx.THRESHOLD, text
+    unspaced = "".join(chr(0x4E00 + i) for i in range(60))
+    assert {tx._hashed(unspaced[i : i + k]) for k in (2, 3) for i in (0, 45, 57)} <= set(tx.Words(model.decoder).one(unspaced))
+
+
 def test_held_out_accuracy(data, model):
     docs, _, labels = data
     rows = tx.scored(docs.where(tx.fold("doc_id", 4) == 2), model).collect()
