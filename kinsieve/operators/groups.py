@@ -55,8 +55,11 @@ def export_rows(members: DataFrame, value: str, group: str = "group_id") -> Data
     return members.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias("links"))
 
 
-def export_wide(rows: DataFrame, width: int) -> DataFrame:
-    """links as columns link_1 to link_width, as a sheet has them."""
+def export_wide(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """links as columns link_1 to link_width, as a sheet has them; without a width as many as the largest group has links."""
+    if width is None:
+        rows = written(rows)
+        width = rows.agg(F.max(F.size("links"))).first()[0] or 0
     return rows.select(*[c for c in rows.columns if c != "links"], *(F.get("links", F.lit(i)).alias(f"link_{i + 1}") for i in range(width)))
 
 

@@ -172,7 +172,7 @@ def keeper_order(spark, sf_dir):
 
 def export_rows(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("item_id"), F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("mtime"))
-    return groups.export_wide(groups.export_rows(groups.ranked(o), "item_id"), 3)
+    return groups.export_wide(groups.export_rows(groups.ranked(o), "item_id"))
 
 
 QUERIES = {f.__name__: f for f in (
