@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import key_id
+from .scratch import written
 
 
 def item_reason(result: Column, banned: Column, ban_reason: Column, visibility: Column, title: Column) -> Column:
@@ -35,7 +38,7 @@ def require_complete(batches: DataFrame) -> DataFrame:
 
 
 def flattened(spark, tree: DataFrame, column: str = "tree", depth: int = 32) -> DataFrame:
-    """(path, title, items) of every folder of JSON trees [{title, items: {key: n}, subfolders: [...]}], by a recursive query."""
+    """(path, title, items) of every folder of JSON trees [{title, items: {key: n}, subfolders: [...]}], by a recursive query; fails if folders lie below the depth."""
     tree.select(F.parse_json(column).alias("tree")).createOrReplaceTempView("_folder_trees")
     return spark.sql(
         f"""
@@ -45,10 +48,30 @@ def flattened(spark, tree: DataFrame, column: str = "tree", depth: int = 32) ->
           select f.path || '/' || variant_get(s.value, '$.title', 'string'), variant_get(s.value, '$.title', 'string'), s.value, f.level + 1
           from f, lateral variant_explode_outer(variant_get(f.node, '$.subfolders', 'variant')) s where s.value is not null and f.level < {depth})
         select path, title, cast(variant_get(node, '$.items', 'map<string,int>') as map<string,int>) items from f
+        where case when level = {depth} and variant_get(node, '$.subfolders[0]', 'variant') is not null then cast(raise_error('folders lie deeper than {depth} levels') as boolean) else true end
         """
     )
 
 
+def folder_paths(folders: DataFrame, depth: int = 1000) -> DataFrame:
+    """(folder_id, path) of folders(folder_id, parent_id, title) as rows, level by level until none is left; fails beyond the depth, so on cycles below a root."""
+    level = written(folders.where("parent_id is null").select("folder_id", F.col("title").alias("path")))
+    levels = [level]
+    while True:
+        below = folders.join(level.select(F.col("folder_id").alias("parent_id"), F.col("path").alias("_above")), "parent_id")
+        level = written(below.select("folder_id", F.concat("_above", F.lit("/"), "title").alias("path")))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        if len(levels) >= depth:
+            raise ValueError(f"folders lie deeper than {depth} levels")
+        levels.append(level)
+
+
+def item_rows(entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, item_id) of entries(folder_id, key) that name an item, each key of a folder once."""
+    return entries.join(paths, "folder_id").select("folder_id", "path", "key").distinct().select("path", key_id(F.col("key")).alias("item_id")).where("item_id is not null")
+
+
 def folder_ids(folders: DataFrame) -> DataFrame:
     """(path, item_id) of the folders' keys that name an item."""
     return folders.select("path", F.explode(F.map_keys(F.coalesce("items", F.expr("cast(map() as map<string,int>)")))).alias("key")).select("path", key_id(F.col("key")).alias("item_id")).where("item_id is not null")

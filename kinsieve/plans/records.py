@@ -66,18 +66,17 @@ def alive_orphan(spark, sf_dir):
     return catalog.alive_state(c, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"))).groupBy("c_nationkey", "state").agg(F.count("*").alias("n"))
 
 
-def folder_tree(spark, sf_dir):
-    """Regions as folders, nations as their subfolders, customers as entries of nations."""
+def folder_items(spark, sf_dir):
+    """(path, item_id): regions as folders, nations as their subfolders, customers as entries of nations."""
     c, n, r = (_t(spark, sf_dir, x) for x in ("customer", "nation", "region"))
-    items = c.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), F.lit(1)))).alias("items"))
-    nations = n.join(items, n["n_nationkey"] == items["c_nationkey"], "left").select("n_regionkey", F.struct(F.col("n_name").alias("title"), "items", F.expr("cast(array() as array<string>)").alias("subfolders")).alias("f"))
-    regions = r.join(nations.groupBy("n_regionkey").agg(F.collect_list("f").alias("subfolders")), r["r_regionkey"] == F.col("n_regionkey"), "left")
-    tree = regions.agg(F.to_json(F.collect_list(F.struct(F.col("r_name").alias("title"), F.expr("cast(map() as map<string,int>)").alias("items"), "subfolders"))).alias("tree"))
-    return catalog.flattened(spark, tree)
+    region, nation = (lambda k: F.concat(F.lit("r"), F.col(k).cast("string"))), (lambda k: F.concat(F.lit("n"), F.col(k).cast("string")))
+    folders = r.select(region("r_regionkey").alias("folder_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
+    folders = folders.unionByName(n.select(nation("n_nationkey").alias("folder_id"), F.coalesce(region("n_regionkey"), F.lit("r?")).alias("parent_id"), F.col("n_name").alias("title")))
+    return catalog.item_rows(c.select(nation("c_nationkey").alias("folder_id"), F.col("c_custkey").cast("string").alias("key")), catalog.folder_paths(folders))
 
 
 def folder_counts(spark, sf_dir):
-    ids = catalog.folder_ids(folder_tree(spark, sf_dir))
+    ids = folder_items(spark, sf_dir)
     o = _t(spark, sf_dir, "orders")
     alive, archived = o.select(F.col("o_custkey").cast("string").alias("item_id")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("item_id"))
     return catalog.folder_counts(ids, alive, archived)
