@@ -174,7 +174,8 @@ def id_extraction(spark, sf_dir):
 
 def job_identity(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(T.job_id(F.collect_list(F.col("user_id").cast("string"))).alias("job"))
+    # ids once each before they meet in one row
+    return e.select("event_type", F.col("user_id").cast("string").alias("user_id")).distinct().groupBy("event_type").agg(T.job_id(F.collect_list("user_id")).alias("job"))
 
 
 def request_batches(spark, sf_dir):

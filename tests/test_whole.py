@@ -48,3 +48,14 @@ def test_folder_counts_build_no_collection(spark):
     for table in ("region", "nation", "customer", "orders"):
         twin.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     assert sorted(map(tuple, records.folder_counts(spark, FOLDER).collect())) == sorted(twin.execute(records.ORACLE["folder_counts"]).fetchall())
+
+
+def test_job_identity_collects_ids_once(spark):
+    def run():
+        return records.job_identity(spark, FOLDER)
+
+    plan = run()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [event_type" in plan.split("collect_list")[1] and "user_id" in plan.split("collect_list")[1].split("Aggregate [event_type")[1].split("]")[0]
+    twin = duckdb.connect()
+    twin.execute(f"create view events as select * from '{FOLDER}/events.parquet'")
+    assert sorted(map(tuple, run().collect())) == sorted(twin.execute(records.ORACLE["job_identity"]).fetchall())
