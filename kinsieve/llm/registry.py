@@ -28,6 +28,5 @@ QUERIES = {
 
 ORACLE = {
     "op7_decontamination": OP7_SQL,
-    "op5_substring_dedup": op5_substring_dedup,
     "op8_exact_topk": OP8_SQL,
 }

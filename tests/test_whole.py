@@ -2,6 +2,7 @@
 
 import json
 
+import __spark_entry__
 import duckdb
 import pytest
 
@@ -59,3 +60,7 @@ def test_job_identity_collects_ids_once(spark):
     twin = duckdb.connect()
     twin.execute(f"create view events as select * from '{FOLDER}/events.parquet'")
     assert sorted(map(tuple, run().collect())) == sorted(twin.execute(records.ORACLE["job_identity"]).fetchall())
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
