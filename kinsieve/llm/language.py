@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import CACHE_ENTRIES, fold, mixed, read
 from .learn import Ftrl, sample
 
-#: Training rows of each language at most, and the languages at most (the most frequent).
-MAX_ROWS, MAX_LANGUAGES = 1000, 100
+#: Training rows of each language at most, and of all languages (then fewer of each, one at least; every language is learned).
+MAX_ROWS, MAX_ALL = 1000, 100_000
 DIMS, GRAMS, EPOCHS, FOLDS, HELD_OUT = 2**16, 4, 3, 4, 2
 CHUNK = 300_000
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -152,11 +152,12 @@ def _temperature(margins: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, text: str = "text", label: str = "lang", most: int = MAX_ROWS) -> Model:
     """From the rows out of the held-out fold that have a language."""
     known = docs.where(F.col(label).isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    languages = sorted(r[0] for r in known.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect())
+    languages = sorted(r[0] for r in known.select(label).distinct().collect())
     if not languages:
         return Model([], np.zeros((DIMS + 1, 0)), 1.0)
     df, total = document_frequencies(known.select(text))
-    picked = F.broadcast(sample(known.where(F.col(label).isin(languages)).select("doc_id", F.col(label).alias("label")).distinct(), "label", most))  # most * MAX_LANGUAGES rows at most
+    most = max(1, min(most, MAX_ALL // len(languages)))
+    picked = F.broadcast(sample(known.select("doc_id", F.col(label).alias("label")).distinct(), "label", most))
 
     def run(batches):
         for batch, first, rows in _rows(batches, 0):
