@@ -1,20 +1,24 @@
 """Operator 6: documents linked by the Jaccard similarity of their shingle sets, by a grouped prefix join.
 
-Shingles have one global order: first those that a merged sketch of counts
-estimates unique, then any that it doesn't cover, then those estimated repeated,
-last the most frequent of all by count. Two sets with similarity >= t share a
-shingle within their first n - ceil(t n) + 1. Shingles estimated unique can't be
-shared, so most documents have no posting at all and drop out. Documents with
-equal sets are one class, classes with equal prefix and size one group. Groups
-that share prefix shingles form families; a family's classes are expanded and
-verified exactly in tasks of bounded size, large families by pairs of blocks,
-each task returning a spanning forest of its links. Components of those give
-the result.
+Documents with equal sets are one class. Two sets with similarity >= t share a
+shingle within their first n - ceil(t n) + 1 in any global order; here shingles
+that no other class has come first, then those of low hash, rarest first, then
+the others. Shingles of no other class are counted exactly: first among those of
+low hash, over all documents, then, for classes that these do not rule out,
+among the rest. A class with more of them than it may miss drops out.
+
+What is left is collapsed into groups of equal prefixes, sizes and counts. Per
+prefix shingle and size range all groups are paired with one hub, the group with
+the fewest shingles of its own; filtered pairs are expanded and verified. Then
+all components that share a prefix shingle and may pass the size and positional
+filters are expanded and verified, component by component, in tasks
+where each set stands once for each block of partners. No pair of linked copies but those
+of a spanning forest leaves a task. Components of the links give the result.
 
 Cases: null, empty and blank texts have the empty set and link with nothing.
 Rows with equal ids are documents of their own; a null id is nobody's component
-unless it stands alone. Copies link. Shingles are compared by 64-bit hashes.
-Extra columns are ignored.
+unless it stands alone. Copies link. Shingles and sets are compared by 64-bit
+hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,22 +27,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocking import bucket_pairs
 from ..operators.components import connected_components
-from . import sketch
-from .common import Cache, hash64, mixed, read, shingled, written
+from .common import Cache, dropped, hash64, mixed, read, shingled, written
 
 SHINGLE, PERCENT = 5, 80
 BASE = 0x9FB21C651E98DF25
-#: The sketch's bitmap takes 2^MAX_BITS / 8 bytes at most; of larger inputs it covers a hash class.
-MAX_BITS = 28
-#: Words hashed at a time; shingles seen OFTEN among them are candidates for the heavy ones.
-CHUNK, OFTEN = 250_000, 2
-#: Shingles that one verifying task holds, about.
-UNIT_SHINGLES = 1_500_000
+#: Shingles below this share of the hash range are counted over all documents; a prefix is a fifth of a set.
+LOW = 0.25
+#: Words hashed at a time.
+CHUNK = 250_000
+#: Shingles that one verifying task holds, about; members of a hub or block that meet in one.
+UNIT_SHINGLES, MEMBERS = 1_500_000, 500
+#: Sizes whose logarithms to this base have one floor share a hub.
+RANGE = 1.25
 
 
 def sets_of(batches, column: int, size: int):
@@ -68,164 +73,222 @@ def sets_of(batches, column: int, size: int):
                 first, rows, n = i + 1, [], 0
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def _prints(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """A 64-bit hash of each set, the k-th of its kind."""
+    sizes = np.array([len(s) for s in sets])
+    out = np.zeros(len(sets), np.uint64)
+    if sizes.sum():
+        weighed = mixed(np.concatenate(sets) + np.uint64(k))
+        full = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        out[full] = (np.bitwise_xor if k == 1 else np.add).reduceat(weighed, starts)
+    return out.view(np.int64)
 
 
-class Order:
-    """The global order of shingles: estimated unique, not sketched, estimated repeated, heavy (rarest first)."""
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
 
-    def __init__(self, repeated: sketch.Repeated, sketched: float):
-        self.repeated, self.limit = repeated, np.uint64(min(2**64 - 1, int(sketched * 2**64)))
-        by_key = np.argsort(repeated.heavy)
-        self.heavy, self.heavy_rank = repeated.heavy[by_key], 3 + len(by_key) - by_key
 
-    def prefix(self, shingles: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first shingles of a sorted set, which of them may be shared, and all of the set that may be."""
-        known = np.searchsorted(shingles, self.limit, "right")
-        rank = np.ones(len(shingles), np.int64)
-        rank[:known] = 2 * self.repeated.test(shingles[:known])[0]
-        if len(self.heavy):
-            at = np.minimum(np.searchsorted(self.heavy, shingles), len(self.heavy) - 1)
-            hit = self.heavy[at] == shingles
-            rank[hit] = self.heavy_rank[at[hit]]
-        order = np.argsort(rank, kind="stable")[:length]
-        return shingles[order], rank[order] > 0, shingles[rank > 0]
+def _allowed(percent: int) -> Column:
+    """The length of the prefix of a set of n shingles."""
+    return F.expr(f"n - ({percent} * n + 99) div 100 + 1")
 
 
-def order_of(texts: DataFrame, size: int) -> Order:
-    """The order for a column of texts."""
-    texts = texts.toDF("text")
-    words = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
-    bits = sketch.bits_for(words, MAX_BITS)
-    sketched = min(1.0, 2**bits / max(1.0, words))  # about as many shingles as cells, at most
+def _similar(percent: int, na: Column, nb: Column, common: Column) -> Column:
+    """Whether sets of these sizes with that many shingles in common are similar enough."""
+    return 100 * common >= percent * (na + nb - common)
 
-    def run(batches):
-        heavy: dict[int, int] = {}
-
-        def parts():
-            limit = np.uint64(min(2**64 - 1, int(sketched * 2**64)))
-            for _, _, sets in sets_of(batches, 0, size):
-                shingles, times = np.unique(np.concatenate(sets), return_counts=True)
-                for s, n in zip(shingles[times >= OFTEN].tolist(), times[times >= OFTEN].tolist(), strict=True):
-                    heavy[s] = heavy.get(s, 0) + n
-                known = np.searchsorted(shingles, limit, "right")
-                yield shingles[:known], times[:known], None
-
-        yield from sketch.pieces(parts(), bits, TaskContext.get().partitionId(), rows=1, heavy=heavy)
-
-    return Order(sketch.merged(texts.mapInArrow(run, sketch.PIECE), bits, texts.rdd.getNumPartitions()), sketched)
-
-
-def linked(table: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest (a, b) of the links between the sets of a table rep, n, shingles: the size, and all that may be shared."""
-    reps, n = table.column("rep").to_pylist(), table.column("n").to_pylist()
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-    order = sorted(range(len(sets)), key=lambda i: (n[i], reps[i]))
-    sets, reps, sizes = [sets[i] for i in order], [reps[i] for i in order], np.array([n[i] for i in order])
-    held = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), held)
-    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = df[token] > 1
-    # renumber by frequency, so that each set sorted by number has its rarest first
-    rank = np.empty(len(df), np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-    token = rank[token]
-    df = np.sort(df, kind="stable")
-    by_doc = np.lexsort((token, owner))
-    token, shared = token[by_doc], shared[by_doc]
-    ends = np.cumsum(held)
-    # what was left at home is unique, so it would come first
-    within = np.arange(len(token)) - np.repeat(ends - sizes, held)
-    in_prefix = within < np.repeat([prefix_length(int(k), percent) for k in sizes], held)
-
-    def postings(mask):
-        t, o = token[mask], owner[mask]
-        by = np.argsort(t, kind="stable")
-        return o[by], np.searchsorted(t[by], np.arange(len(df) + 1))
-
-    lists, cuts = postings(shared & in_prefix)
-    full, full_cuts = postings(shared)
-    labels = np.arange(len(sets))
-    a, b = [], []
 
-    def gathered(lists, cuts, tokens):
-        parts = [lists[cuts[t] : cuts[t + 1]] for t in tokens]
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+def _alone(tokens: DataFrame) -> DataFrame:
+    """(cid, alone): how many of a class's tokens(token, cid) no other class has."""
+    owners = tokens.groupBy("token").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
+    return owners.where("cid = last").groupBy("cid").agg(F.count("*").alias("alone"))
 
-    for x in range(1, len(sets)):
-        span = slice(ends[x] - held[x], ends[x])
-        mine = token[span][shared[span] & in_prefix[span]]
-        seen = gathered(lists, cuts, mine)
-        seen = seen[(seen < x) & (100 * sizes[np.minimum(seen, len(sets) - 1)] >= percent * sizes[x])]
-        if not len(seen):
-            continue
-        found = np.unique(seen)
-        found = found[labels[found] != labels[x]]
-        if not len(found):
+
+def _hub(xs: list[int], ys: list[int], tokens: np.ndarray, cuts: np.ndarray):
+    """For each x of xs the number of shingles it shares with each of ys; set i is tokens[cuts[i] : cuts[i + 1]]."""
+    held = [tokens[cuts[y] : cuts[y + 1]] for y in ys]
+    flat, owner = np.concatenate(held), np.repeat(np.arange(len(ys)), [len(h) for h in held])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for x in xs:
+        mine = tokens[cuts[x] : cuts[x + 1]]
+        lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        n = hi - lo
+        places = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield x, np.bincount(owner[places], minlength=len(ys))
+
+
+def links_of(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between the sets of side 0 and of side 1 of each star, as a spanning forest; those of one component are skipped."""
+    star, side, cid, comp, sizes = (table.column(c).to_numpy() for c in ("star", "side", "cid", "comp", "n"))
+    shingles = table.column("shingles").combine_chunks()
+    cuts, tokens = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    order = np.lexsort((cid, side, star))
+    for own in np.split(order, np.flatnonzero(np.diff(star[order])) + 1):
+        xs, ys = own[side[own] == 0], own[side[own] == 1]
+        if not len(xs) or not len(ys):
             continue
-        common = np.bincount(gathered(full, full_cuts, token[span][shared[span]]), minlength=len(sets))[found]
-        for y in found[100 * common >= percent * (sizes[found] + sizes[x] - common)]:
-            if labels[y] != labels[x]:
-                labels[labels == labels[y]] = labels[x]
-                a.append(reps[x])
-                b.append(reps[y])
-    kind = table.schema.field("rep").type
-    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+        ny, by = sizes[ys], comp[ys]
+        for x, common in _hub(xs.tolist(), ys.tolist(), tokens, cuts):
+            for y in ys[(100 * common >= percent * (sizes[x] + ny - common)) & (by != comp[x])].tolist():
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q:
+                    root[p] = q
+                    a.append(cid[x])
+                    b.append(cid[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _verified(ship: DataFrame, sets: DataFrame, percent: int, unit: int) -> DataFrame:
+    """Links (a, b) of the stars in ship(star, side, cid, comp)."""
+    sides = written(ship)
+    total = sides.join(sets.select("cid", "n"), "cid").agg(F.sum("n")).first()[0] or 0
+    tasks = int(max(1, -(-total // unit), min(2 * ship.sparkSession.sparkContext.defaultParallelism, total // 50_000)))
+    full = sides.join(sets.select("cid", "n", F.concat("low", "high").alias("shingles")).hint("merge"), "cid").withColumn("task", F.pmod(F.xxhash64("star"), F.lit(tasks)))
+    out = written(full.groupBy("task").applyInArrow(lambda table: links_of(table, percent), "a long, b long"))
+    dropped(sides)
+    return out
+
+
+def _opened(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Classes with fewer shingles of their own, among those of low hash, than they may miss."""
+    limit = np.uint64(int(LOW * 2**64))
+
+    def low(batches):
+        for _, _, sets in sets_of(batches, 0, size):
+            mine = [s[: np.searchsorted(s, limit)] for s in sets]
+            ids = np.repeat(_prints(sets, 1), [len(m) for m in mine])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine).view(np.int64)), pa.array(ids)], names=["token", "cid"])
+
+    alone = _alone(docs.where("doc_id is not null").select("text").mapInArrow(low, "token long, cid long"))
+    return classes.join(alone, classes["p1"] == alone["cid"], "left").where(F.coalesce("alone", F.lit(0)) < _allowed(percent)).select(F.col("p1").alias("cid"), "p2", "n", "rep", F.coalesce("alone", F.lit(0)).alias("u"))
+
+
+def _sets(docs: DataFrame, opened: DataFrame, size: int) -> DataFrame:
+    """(cid, n, low, high): the sets of those classes, by hash; a class may stand there twice if its row does."""
+    limit = np.uint64(int(LOW * 2**64))
+
+    def run(batches):
+        for batch, first, sets in sets_of(batches, 2, size):
+            cid = _prints(sets, 1)
+            own = np.flatnonzero(cid == batch.column(0).slice(first, len(sets)).to_numpy())
+            kept = [sets[i] for i in own]
+            if not kept:
+                continue
+            at = [np.searchsorted(s, limit) for s in kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cid[own]), pa.array([len(s) for s in kept], pa.int64()), _lists([s[:k] for s, k in zip(kept, at, strict=True)]), _lists([s[k:] for s, k in zip(kept, at, strict=True)])],
+                names=["cid", "n", "low", "high"],
+            )
+
+    # merged at every size: what is open grows with the input
+    wanted = docs.join(opened.select("cid", F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select("cid", "doc_id", "text")
+    return wanted.mapInArrow(run, "cid long, n long, low array<long>, high array<long>")
+
+
+def _prefixes(own: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, u, tokens, ranked): of each class the prefix without what no other class has; the first `ranked` are in order of frequency."""
+    lows = own.select("cid", F.explode("low").alias("token"))
+    shared = lows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = lows.join(shared, "token").groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("by_df"))
+    found = own.join(ranked, "cid", "left").withColumn("by_df", F.coalesce(F.transform("by_df", lambda x: x["token"]), F.array().cast("array<long>")))
+    found = found.withColumn("u", F.size("low") - F.size("by_df") + F.col("rest")).withColumn("k", (_allowed(percent) - F.col("u")).cast("int")).where("k > 0")
+    more = F.col("k") - F.size("by_df")
+    # of the others it isn't known which no other class has, only how many
+    tokens = F.when(more > 0, F.concat("by_df", F.slice("high", F.lit(1), (F.greatest(more, F.lit(0)) + F.col("rest")).cast("int")))).otherwise(F.slice("by_df", F.lit(1), F.col("k")))
+    return found.select("cid", "n", "u", tokens.alias("tokens"), F.least("k", F.size("by_df")).alias("ranked")).dropDuplicates(["cid"])
+
+
+def _links(sets: DataFrame, percent: int, unit: int) -> DataFrame:
+    """(cid, component): the classes with links, by the prefix join of groups."""
+    placed = written(_prefixes(sets, percent))
+    keys = ["h1", "h2", "n", "u"]
+    keyed = placed.withColumn("h1", F.xxhash64("tokens")).withColumn("h2", F.xxhash64(F.lit(1), "tokens"))
+    groups = written(keyed.groupBy(*keys).agg(F.min("cid").alias("gid"), F.count("*").alias("classes"), F.first("tokens").alias("tokens"), F.first("ranked").alias("ranked")))
+    members = written(keyed.select("cid", *keys).join(groups.select("gid", *keys), keys).select("gid", "cid"))
+    place = F.when(F.col("pos") < F.col("ranked"), F.col("pos")).otherwise(0)
+    postings = groups.select("gid", "n", "u", "ranked", F.posexplode("tokens").alias("pos", "token")).select("token", F.col("gid").alias("file_id"), "n", "u", place.alias("at"))
+
+    # each group against the hub of its shingle and size range
+    ranges = postings.withColumn("range", F.floor(F.log(RANGE, "n")))
+    hubs = ranges.groupBy("token", "range").agg(F.min(F.struct("u", "file_id", "n")).alias("hub"), F.count("*").alias("df")).where("df > 1").select("token", "range", F.col("hub.file_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.u").alias("hub_u"))
+    paired = ranges.withColumnsRenamed({"n": "own_n", "u": "own_u"}).join(hubs, ["token", "range"]).where((F.col("hub") != F.col("file_id")) & _similar(percent, F.col("hub_n"), F.col("own_n"), F.least(F.col("hub_n") - F.col("hub_u"), F.col("own_n") - F.col("own_u")))).select("hub", F.col("file_id").alias("gid"))
+    paired = paired.unionByName(groups.where("classes > 1").select(F.col("gid").alias("hub"), "gid")).distinct()
+    spokes = written(paired.join(members, "gid").where("hub <> cid").select("hub", "cid"))
+    dealt = spokes.join(spokes.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")), "hub").select("hub", "cid", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("star"))
+    ship = dealt.select("star", F.lit(1).alias("side"), "cid").unionByName(dealt.select("star", F.lit(0).alias("side"), F.col("hub").alias("cid")).distinct())
+    near_by = _verified(ship.withColumn("comp", F.col("cid")), sets, percent, unit)
+    first = written(connected_components(near_by).withColumnsRenamed({"node": "cid"}))
+
+    # components that are not connected yet, each once for a shingle, with the most that any of its groups may have in common
+    labelled = written(members.join(first, "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp")))
+    bounds = [F.min("n").alias("n"), F.max(F.col("n") - F.col("u")).alias("most"), F.max("at").alias("before"), F.max(F.col("n") - F.col("u") - F.col("at")).alias("after")]
+    spans = postings.join(labelled.select(F.col("gid").alias("file_id"), "comp").distinct(), "file_id").groupBy("token", F.col("comp").alias("file_id")).agg(*bounds)
+    spans = written(spans)
+    several = spans.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    pairs = bucket_pairs(spans.join(several, "token"), ["file_id", "n", "most", "before", "after"], "token", 4 * MEMBERS)
+    common = F.least("a_most", "b_most", F.least("a_before", "b_before") + F.least("a_after", "b_after"))
+    pairs = pairs.where(_similar(percent, F.col("a_n"), F.col("b_n"), common)).select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b")).distinct()
+    sizes = labelled.groupBy("comp").agg(F.count("*").alias("classes"))
+    parts = F.ceil(F.col("classes") / MEMBERS).cast("int")
+    n_blocks = max(1, -(-placed.count() // MEMBERS))
+    block = lambda c, i: F.pmod(F.xxhash64(c, i), F.lit(n_blocks))
+    split = lambda x: sizes.select(F.col("comp").alias(x), F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"{x}_part"))
+    stars = pairs.join(split("a"), "a").join(split("b"), "b").withColumn("star", F.xxhash64(block("a", "a_part"), block("b", "b_part")))
+    stars = written(stars.select("star", "a", "a_part", "b", "b_part"))
+    by_part = labelled.join(sizes.select("comp", parts.alias("parts")), "comp").select("comp", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid")
+    side = lambda k, x: stars.select("star", F.lit(k).alias("side"), F.col(x).alias("comp"), F.col(f"{x}_part").alias("part")).distinct()
+    far = _verified(side(0, "a").unionByName(side(1, "b")).join(by_part, ["comp", "part"]).select("star", "side", "cid", "comp"), sets, percent, unit)
+
+    ends = far.join(first.withColumnRenamed("cid", "node").alias("a_"), F.col("a") == F.col("a_.node"), "left").join(first.withColumnRenamed("cid", "node").alias("b_"), F.col("b") == F.col("b_.node"), "left")
+    ends = ends.select(F.coalesce("a_.component", "a").alias("a"), F.coalesce("b_.component", "b").alias("b"))
+    second = connected_components(ends).withColumnsRenamed({"node": "comp", "component": "joined"})
+    out = written(labelled.select("cid", "comp").join(second, "comp", "left").select("cid", F.coalesce("joined", "comp").alias("component")))
+    for table in (placed, groups, members, spokes, near_by, first, labelled, spans, stars, far):
+        dropped(table)
+    return out
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, unit: int = UNIT_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    order = docs.sparkSession.sparkContext.broadcast(order_of(docs.select("text"), size))
 
     def run(batches):
         for batch, first, sets in sets_of(batches, 1, size):
-            prints, prefixes, tokens, kept = [], [], [], []
-            for s in sets:
-                head, shared, may = order.value.prefix(s, prefix_length(len(s), percent)) if len(s) else (s, np.empty(0, bool), s)
-                weighed = [mixed(s + np.uint64(k)) for k in (1, 2)]
-                prints.append([int(np.bitwise_xor.reduce(weighed[0])), int(weighed[1].sum(dtype=np.uint64))] if len(s) else [0, 0])
-                prefixes.append(int(mixed(head + np.uint64(3)).sum(dtype=np.uint64)))
-                tokens.append(head[shared].view(np.int64))
-                kept.append(may.tobytes() if shared.any() else None)
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), signed([p[0] for p in prints]), signed([p[1] for p in prints]), signed(prefixes), pa.array(tokens, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                names=["doc_id", "n", "p1", "p2", "prefix", "tokens", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(_prints(sets, 1)), pa.array(_prints(sets, 2))], names=["doc_id", "n", "p1", "p2"])
 
-    rows = written(docs.mapInArrow(run, f"doc_id {kind}, n long, p1 long, p2 long, prefix long, tokens array<long>, shingles binary"))
+    rows = written(docs.mapInArrow(run, f"doc_id {kind}, n long, p1 long, p2 long"))
     keys = ["p1", "p2", "n"]
-    # the sets themselves stay in the table until it is known which of them can link
-    open_rows = rows.where("size(tokens) > 0 and doc_id is not null")
-    classes = written(open_rows.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"), F.first(F.length("shingles")).alias("held")))
-    groups = classes.groupBy("prefix", "n").agg(F.min("rep").alias("gid"), F.first("tokens").alias("tokens"))
-    postings = groups.select("gid", F.explode("tokens").alias("token"))
-    roots = postings.groupBy("token").agg(F.min("gid").alias("root"), F.count("*").alias("df")).where("df > 1")
-    families = connected_components(postings.join(roots, "token").select("gid", "root").where("gid <> root"), "gid", "root").withColumnsRenamed({"node": "gid", "component": "family"})
-    placed = classes.select("prefix", *keys, "rep", "held").join(groups.select("prefix", "n", "gid"), ["prefix", "n"]).join(families, "gid", "left").select("rep", *keys, "held", F.coalesce("family", "gid").alias("family"))
-    placed = written(placed)
-    sizes = placed.groupBy("family").agg(F.count("*").alias("classes"), (F.sum("held") / 8).alias("total")).where("classes > 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / unit)).cast("int"))
-    small = int(sizes.where("blocks = 1").agg(F.sum("total")).first()[0] or 0)
-    buckets = max(1, -(-small // unit), min(2 * docs.sparkSession.sparkContext.defaultParallelism, small // 50_000))
-    # one task's sets: a bucket of small families, or two blocks of a large one
-    single = F.col("blocks") == 1
-    block, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sets = rows.where("size(tokens) > 0").select(F.col("doc_id").alias("rep"), *keys, "shingles")
-    dealt = sets.join(placed.join(sizes, "family"), ["rep", *keys]).select("family", "blocks", "rep", "n", "shingles", block.alias("block"), other)
-    dealt = dealt.select(
-        F.when(single, F.pmod(F.xxhash64("family"), F.lit(buckets)).cast(kind)).otherwise(F.col("family")).alias("f"),
-        F.when(single, -1).otherwise(F.least("block", "other")).alias("i"), F.when(single, -1).otherwise(F.greatest("block", "other")).alias("j"), "rep", "n", "shingles",
-    )
-    edges = dealt.groupBy("f", "i", "j").applyInArrow(lambda table: linked(table, percent), f"a {kind}, b {kind}")
-    found = connected_components(edges)
-    ids = classes.select(*keys, "rep").join(found, F.col("rep") == F.col("node"), "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    opened = written(_opened(docs, classes, size, percent))
+    sets = written(_sets(docs, opened, size))
+    rest = _alone(sets.select(F.explode("high").alias("token"), "cid"))
+    near = opened.join(rest, "cid", "left").withColumn("rest", F.coalesce("alone", F.lit(0))).where(F.col("u") + F.col("rest") < _allowed(percent)).select("cid", "rest")
+    near = written(sets.join(near.hint("merge"), "cid"))
+    dropped(sets)
+    links = _links(near, percent, unit)
+    linked = opened.join(links, "cid")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    found = written(linked.join(least, "component").select(F.col("cid").alias("p1"), "p2", "n", "least"))
+    for table in (opened, near, links):
+        dropped(table)
+    ids = classes.join(found, keys, "left").select(*keys, F.coalesce("least", "rep").alias("component"))
     return (
-        rows.select("doc_id", "n", "p1", "p2").alias("r").join(ids.alias("c"), ["p1", "p2", "n"], "left")
+        rows.alias("r").join(ids, keys, "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    )
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
