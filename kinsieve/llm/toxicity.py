@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ DOUBLED = re.compile(r"([^\W\d_])\1+")
 LONGEST = 40  # longer tokens are no single words: they are split at their separators, and what is left by likely word boundaries
 PIECE, OVERLAP = 2000, 80  # letters decoded at once, and how many of them the next piece repeats; bounds the worker's memory
 SEPARATOR = re.compile(r"(?:[^\w@$!|+€£¡*]|_)+")
+ENDS = ".,;:?!\"'"  # may end a plain word
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")  # scripts without spaces
 #: Words count that are this much less likely (natural logarithm) than the likeliest placing of word boundaries.
 MARGIN = 5.0
@@ -176,14 +178,19 @@ class Words:
 
     decoder: Decoder
     cache: Cache = field(init=False)
+    starts: Cache = field(init=False)
 
     def __post_init__(self):
         self.cache = Cache(self.one)
+        self.starts = Cache(lambda start: _hashed(f"^{len(start)}{start}"))
 
     def features(self, word: str) -> list[int]:
-        return [_hashed(word), *(_hashed(f"^{k}{word[:k]}") for k in (3, 4, 5) if len(word) > k)]
+        return [_hashed(word), *(self.starts[word[:k]] for k in (3, 4, 5) if len(word) > k)]
 
     def one(self, token: str) -> tuple[int, ...]:
+        bare = token.rstrip(ENDS)
+        if bare.isalpha() and len(bare) <= LONGEST and not DOUBLED.search(bare) and (bare.isascii() or not UNSPACED.search(bare)):
+            return tuple(set(self.features(bare)))  # nothing to restore
         bare = EDGE.sub("", token)
         if not bare:
             return ()
@@ -238,13 +245,13 @@ class Model:
 
     def scorer(self):
         words = Words(self.decoder)
-        w = self.weights
-        value = Cache(lambda token: float(w[list(words.one(token))].sum()))
+        known = np.flatnonzero(self.weights)
+        w = dict(zip(known.tolist(), self.weights[known].tolist(), strict=True)).get  # the model is sparse
+        added = lambda ids: fsum(w(f, 0.0) for f in ids)
+        value = Cache(lambda token: added(words.one(token)))
 
         def score(text: str | None) -> float:
-            total = self.bias
-            for token in words.tokens(text):
-                total += value[token] if token[-1] != "\0" else float(w[list(words.spaced(token[:-1]))].sum())
+            total = self.bias + fsum(value[token] if token[-1] != "\0" else added(words.spaced(token[:-1])) for token in words.tokens(text))  # in whatever order
             return 1 / (1 + float(np.exp(-min(35.0, max(-35.0, total)))))
 
         return score
@@ -265,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())), batch.column(1)], names=["ids", "n", "label"])
 
     table = docs.select("doc_id", text).join(picked, "doc_id").select(text, F.col("label").cast("int")).mapInArrow(run, "ids array<int>, n array<int>, label int").toArrow()
-    rows = [(np.array(i, np.int64), np.array(n, float), y) for i, n, y in zip(*(table.column(c).to_pylist() for c in ("ids", "n", "label")), strict=True)]
+    rows = [(i.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(float), y) for i, n, y in zip(*(table.column(c).combine_chunks() for c in ("ids", "n")), table.column("label").to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
     total = sum(shares.values())
     if len({y for *_, y in rows}) < 2:
