@@ -39,8 +39,10 @@ def hash_score(distances: Column, o: Options) -> Column:
     low, high = F.slice(d, F.lit(1), half), F.slice(d, half + 1, n)
     trim = F.greatest(F.lit(1), F.floor(n * o.phash_trim_ratio).cast("int"))
     kept = F.slice(d, F.lit(1), F.greatest(F.lit(0), n - trim))
-    m, mu = mean(kept), mean(d)
-    std = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu)) / F.greatest(F.lit(1), n - 1))
+    m, sums = mean(kept), total(d)
+    # by sums: a mean inside the lambda would be worked out again for every distance
+    spread = F.greatest(F.lit(0.0), total(F.transform(d, lambda x: x * x)) - sums * sums / n)
+    std = F.sqrt(spread / F.greatest(F.lit(1), n - 1))
     bad = F.exists(distances, lambda x: x.isNull()) | (n < 2) | ((n >= 6) & (mean(high) - mean(low) > o.phash_bimodal_gap_cap)) | (m > o.phash_trimmed_mean_cap)
     return F.when(~bad, F.when(n < 6, m).otherwise(m / (1 + std)))
 

@@ -32,8 +32,8 @@ def step(s: Column, e: Column, lease: float = LEASE, delay: float = DELAY, most:
     leased = _state(F.lit("inflight"), s1["attempts"] + 1, e["at"] + lease, F.coalesce(e["token"], (s1["attempts"] + 1).cast("string")), text)
     mine = (s1["status"] == "inflight") & ((F.coalesce(e["token"], F.lit("")) == "") | (e["token"] == s1["token"]))
     wait = backoff(s1["attempts"], delay, e["reason"])
-    failed = _state(F.when(s1["attempts"] >= most, "failed").otherwise("queued"), s1["attempts"], e["at"] + wait, text, F.coalesce(e["reason"], F.lit("unknown")))
-    done = _state(F.lit("success"), s1["attempts"], e["at"], text, text)
+    failed = _state(F.when(s1["attempts"] >= most, "failed").otherwise("queued"), s1["attempts"], e["at"] + wait, text, F.coalesce(F.nullif(e["reason"], F.lit("")), F.lit("unconfirmed_failure")))
+    done = _state(F.lit("success"), s1["attempts"], F.lit(0.0), text, text)
     fresh = _state(F.lit("queued"), F.lit(0), F.lit(0.0), text, text)
     return (
         F.when((e["kind"] == "start") & (s1["status"] != "success"), fresh)
@@ -51,23 +51,40 @@ def folded(events: DataFrame, keys: list[str], **limits) -> DataFrame:
 
 
 def resumed(state: DataFrame, wanted: DataFrame, restart: bool = False) -> DataFrame:
-    """Tasks after a start: new ones queued, successes kept, all others queued with no attempts; restart forgets everything."""
-    old = state.select("job", "item_id", "status") if not restart else state.select("job", "item_id", "status").limit(0)
-    return wanted.join(old, ["job", "item_id"], "left").withColumn("status", F.when(F.col("status") == "success", "success").otherwise("queued")).withColumn("attempts", F.when(F.col("status") == "success", F.lit(None).cast("int")).otherwise(0))
+    """Tasks after a start with wanted(job, item_id, and columns such as url and position, which it renews).
 
-
-def leased(state: DataFrame, now: float, size: int, cooldown: float = 0.0, lease: float = LEASE) -> DataFrame:
-    """The next `size` ready tasks, fewest attempts then position first, in flight with a token; none while cooling down."""
-    ready = state.where((F.col("status") == "queued") & (F.col("next_ts") <= now) & F.lit(cooldown <= now)).orderBy("attempts", "position").limit(min(500, max(0, size)))
-    attempt = F.col("attempts") + 1
-    return ready.withColumn("status", F.lit("inflight")).withColumn("token", lease_token(F.col("job"), F.col("item_id").cast("string"), attempt)).withColumn("attempts", attempt).withColumn("next_ts", F.lit(now + lease))
+    Successes keep all they have; new tasks and all others, wanted or not, are queued without attempts,
+    due at once and without a token, an old error still noted. A restart forgets every task of the jobs that start.
+    """
+    keys = ["job", "item_id"]
+    old = state.join(wanted.select("job").distinct(), "job", "left_anti") if restart else state
+    renewed = [c for c in wanted.columns if c not in keys]
+    both = old.alias("o").join(wanted.alias("w"), keys, "full")
+    own = F.col("o.status") == "success"
+    fresh = {"status": F.lit("queued"), "attempts": F.lit(0), "next_ts": F.lit(0.0), "token": F.lit("")}
+    kept = lambda c: F.when(own, F.col(f"o.{c}")).otherwise(fresh[c]) if c in fresh else F.coalesce(F.col(f"w.{c}"), F.col(f"o.{c}")) if c in renewed else F.col(f"o.{c}")
+    return both.select(*keys, *(kept(c).alias(c) for c in state.columns if c not in keys))
 
 
 def expired(state: DataFrame, now: float, delay: float = DELAY, most: int = ATTEMPTS) -> DataFrame:
+    """Leases that ran out go back to the queue, or fail."""
     gone = (F.col("status") == "inflight") & (F.col("next_ts") <= now)
     return state.select(*[c for c in state.columns if c not in ("status", "next_ts")], F.when(gone, F.when(F.col("attempts") >= most, "failed").otherwise("queued")).otherwise(F.col("status")).alias("status"), F.when(gone, F.lit(now + delay)).otherwise(F.col("next_ts")).alias("next_ts"))
 
 
+def leased(state: DataFrame, now: float, size: int, cooldowns: DataFrame | None = None, lease: float = LEASE) -> DataFrame:
+    """The next `size` ready tasks of each job, fewest attempts then position first, in flight with a token; leases
+    that ran out are ready again later, and a job in cooldowns(job, cooldown) beyond now leases nothing."""
+    ready = expired(state, now).where((F.col("status") == "queued") & (F.col("next_ts") <= now))
+    if cooldowns is not None:
+        ready = ready.join(cooldowns.where(F.col("cooldown") > now).select("job"), "job", "left_anti")
+    # the limit also applies before the shuffle, so a job with very many tasks sends few
+    place = F.row_number().over(Window.partitionBy("job").orderBy("attempts", "position", "item_id"))
+    ready = ready.withColumn("_place", place).where(F.col("_place") <= min(500, max(0, size))).drop("_place")
+    attempt = F.col("attempts") + 1
+    return ready.withColumn("status", F.lit("inflight")).withColumn("token", lease_token(F.col("job"), F.col("item_id").cast("string"), attempt)).withColumn("attempts", attempt).withColumn("next_ts", F.lit(now + lease))
+
+
 def cooldowns(acks: DataFrame, delay: float = DELAY) -> DataFrame:
     """Until when each job may lease nothing: the latest wait that a 429 brought."""
     limited = acks.where(F.coalesce("reason", F.lit("")).contains("429"))
@@ -75,10 +92,12 @@ def cooldowns(acks: DataFrame, delay: float = DELAY) -> DataFrame:
 
 
 def stats(state: DataFrame, now: float, cooldown: float = 0.0, keys: tuple[str, ...] = ("job",)) -> DataFrame:
+    """Counts of each job once its leases that ran out are back: left are queued, pending in flight."""
+    state = expired(state, now)
     n = lambda *names: F.count_if(F.col("status").isin(*names))
     waiting = F.min(F.when(F.col("status").isin("queued", "inflight"), F.col("next_ts")))
     return state.groupBy(*keys).agg(
-        n("queued", "inflight").alias("left"), n("queued").alias("pending"), F.count_if(F.col("attempts") > 0).alias("assigned"), n("success", "failed").alias("done"), n("success").alias("ok"), n("failed").alias("fail"),
+        n("queued").alias("left"), n("inflight").alias("pending"), F.count_if(F.col("attempts") > 0).alias("assigned"), n("success", "failed").alias("done"), n("success").alias("ok"), n("failed").alias("fail"),
         F.count("*").alias("total"), F.sum("attempts").alias("attempts"), retry_hint_ms(F.lit(float(cooldown)), waiting, F.lit(float(now))).alias("retry_after_ms"),
     )
 

@@ -117,8 +117,9 @@ def center_mask(spark, sf_dir):
 
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs through the cascade: hashes first; vectors join only the pairs that the hashes leave."""
-    files = frame_files(spark, sf_dir)
-    p = blocking.bucket_pairs(files, ["file_id", "hashes"]).select("a_file_id", "b_file_id", V.hash_score(V.hash_distances(F.col("a_hashes"), F.col("b_hashes")), O).alias("score"))
+    files = written(frame_files(spark, sf_dir))
+    # scored once: both branches below read the scores
+    p = written(blocking.bucket_pairs(files, ["file_id", "hashes"]).select("a_file_id", "b_file_id", V.hash_score(V.hash_distances(F.col("a_hashes"), F.col("b_hashes")), O).alias("score")))
     near, far = p.where(F.col("score") <= O.phash_distance_threshold), p.where(~F.coalesce(F.col("score") <= O.phash_distance_threshold, F.lit(False)))
     side = lambda x: files.select(F.col("file_id").alias(f"{x}_file_id"), F.col("frames").alias(f"{x}_frames"), F.col("patches").alias(f"{x}_patches"))
     near = near.join(side("a"), "a_file_id").join(side("b"), "b_file_id")

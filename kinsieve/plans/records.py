@@ -215,8 +215,8 @@ select u.id update_id, u.user_id id, not ((select count(*) from u) >= 50 and x.e
     "overlay_priority": """with a as (select s_suppkey * 3 % 500 id, case when s_suppkey % 2 = 0 then '/projects/myprojects/' else '/projects/backup/' end || s_suppkey file, s_suppkey size from supplier where s_suppkey % 5 <> 0 and s_suppkey > 0 qualify row_number() over (partition by s_suppkey * 3 % 500 order by s_suppkey % 2, file) = 1),
 r as (select p_partkey id, '/c/' || p_partkey file, cast(p_size as bigint) filesize, case when p_partkey % 7 = 0 then 'pending' else '' end status, p_type, a.file af, a.size, a.file is not null and p_partkey % 11 <> 0 and p_partkey % 7 <> 0 use from part left join a on a.id = p_partkey)
 select id, case when use then af else file end file, case when use then 'a' else 'p' end project, case when use then size else filesize end filesize, case when use then 'installed' else status end status, case when use then 'Video' else p_type end type, use overlaid from r""",
-    "queue_stats": f"with {_TASKS} select job, count(case when status in ('queued', 'inflight') then 1 end) \"left\", count(case when status = 'queued' then 1 end) pending, count(case when attempts > 0 then 1 end) assigned, count(case when status in ('success', 'failed') then 1 end) done, count(case when status = 'success' then 1 end) ok, count(case when status = 'failed' then 1 end) fail, count(*) total, cast(sum(attempts) as bigint) attempts, greatest(250, least(5000, cast(trunc((greatest(0.0, coalesce(min(case when status in ('queued', 'inflight') then next_ts end), 500.0)) - 500.0) * 1000) as bigint))) retry_after_ms from t group by 1",
-    "lease_batch": f"with {_TASKS} select job, item_id, 'inflight' status, attempts + 1 attempts, cast(590 as double) next_ts, sha1(job || ':' || item_id || ':' || (attempts + 1)) token from t where status = 'queued' and next_ts <= 500 order by attempts, position limit 200",
+    "queue_stats": f"with {_TASKS}, e as (select job, attempts, case when status = 'inflight' and next_ts <= 500 then case when attempts >= 3 then 'failed' else 'queued' end else status end status, case when status = 'inflight' and next_ts <= 500 then 505.0 else next_ts end next_ts from t) select job, count(case when status = 'queued' then 1 end) \"left\", count(case when status = 'inflight' then 1 end) pending, count(case when attempts > 0 then 1 end) assigned, count(case when status in ('success', 'failed') then 1 end) done, count(case when status = 'success' then 1 end) ok, count(case when status = 'failed' then 1 end) fail, count(*) total, cast(sum(attempts) as bigint) attempts, greatest(250, least(5000, cast(trunc((greatest(0.0, coalesce(min(case when status in ('queued', 'inflight') then next_ts end), 500.0)) - 500.0) * 1000) as bigint))) retry_after_ms from e group by 1",
+    "lease_batch": f"with {_TASKS} select job, item_id, 'inflight' status, attempts + 1 attempts, cast(590 as double) next_ts, sha1(job || ':' || item_id || ':' || (attempts + 1)) token from t where status = 'queued' and next_ts <= 500 qualify row_number() over (partition by job order by attempts, position, item_id) <= 200",
     "lease_expiry": f"with {_TASKS} select job, case when status = 'inflight' and next_ts <= 500 then case when attempts >= 3 then 'failed' else 'queued' end else status end status, count(*) n from t group by 1, 2",
     "backoff": "select event_id, case when event_type = 'signup' then greatest(least(120.0, 5.0 * pow(2, event_id % 9)), least(120.0, 10.0 * pow(2, event_id % 9))) else least(120.0, 5.0 * pow(2, event_id % 9)) end wait, event_type <> 'error' ok, case when value * 100000 < 1024 then printf('%.1f B', value * 100000) when value * 100000 < 1048576 then printf('%.1f KB', value * 100000 / 1024) else printf('%.1f MB', value * 100000 / 1048576) end size, cast(4 as bigint) number from events",
     "scheduler_pick": "with i as (select user_id, event_id, event_id % 16 s, case when event_type = 'error' then 900.0 else 0 end r from events) select user_id, count(case when r > 500 then 1 end) n_deferred, min(case when s & 1 <> 0 and s & 2 = 0 and r <= 500 and (s & 8 <> 0 or s & 4 = 0) then event_id end) item_id from i group by 1",

@@ -31,7 +31,7 @@ def advance(s: tuple, e, lease: float = LEASE, most: int = ATTEMPTS) -> tuple:
     if e.kind == "lease" and status == "queued" and next_ts <= e.at:
         return ("inflight", attempts + 1, e.at + lease, e.token or str(attempts + 1), None)
     if e.kind == "ack" and status == "inflight" and (not e.token or e.token == token):
-        return ("success", attempts, e.at, None, None) if e.ok else back(e.reason or "unknown", _wait(attempts, e.reason))
+        return ("success", attempts, 0.0, None, None) if e.ok else back(e.reason or "unconfirmed_failure", _wait(attempts, e.reason))
     return (status, attempts, next_ts, token, error)
 
 
