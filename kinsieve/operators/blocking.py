@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nearest_bucket, valid_duration
+from .scratch import written
 
 #: Rows of one bucket that meet in one task; a larger bucket is dealt over several.
 BLOCK_ROWS = 4096
@@ -70,7 +71,8 @@ def duration_pairs(files: DataFrame, keep: list[str], tolerance: float) -> DataF
 
 def batches(ids: DataFrame, key: str, size: int = 80) -> DataFrame:
     """Ids in numeric order with their batch number, counted over ranges instead of in one task."""
-    ranged = ids.repartitionByRange(F.length(key), key).sortWithinPartitions(F.length(key), key).withColumn("_part", F.spark_partition_id())
+    # written once: two plans of it need not number their partitions alike
+    ranged = written(ids.repartitionByRange(F.length(key), key).withColumn("_part", F.spark_partition_id()))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(F.length(key), key))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each partition

@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "kinsieve-checkpoints"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
