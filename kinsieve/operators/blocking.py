@@ -69,13 +69,18 @@ def duration_pairs(files: DataFrame, keep: list[str], tolerance: float) -> DataF
     return left.join(files.select(*side("b", cell)), "_cell").where((F.col("a_file_id") < F.col("b_file_id")) & (F.abs(F.col("a_duration") - F.col("b_duration")) <= tolerance)).drop("_cell")
 
 
-def batches(ids: DataFrame, key: str, size: int = 80) -> DataFrame:
-    """Ids in numeric order with their batch number, counted over ranges instead of in one task."""
+def numbered(rows: DataFrame, *order, into: str = "place") -> DataFrame:
+    """rows with their number from 0 in an order of unique values, counted over ranges instead of in one task."""
     # written once: two plans of it need not number their partitions alike
-    ranged = written(ids.repartitionByRange(F.length(key), key).withColumn("_part", F.spark_partition_id()))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.length(key), key))
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each partition
     earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").select(key, F.floor((F.col("_place") - 1 + F.col("_before")) / size).alias("batch"))
+    return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_place") - 1 + F.col("_before")).alias(into))
+
+
+def batches(ids: DataFrame, key: str, size: int = 80) -> DataFrame:
+    """Ids in numeric order with their batch number."""
+    return numbered(ids, F.length(key), F.col(key)).select(key, F.floor(F.col("place") / size).alias("batch"))

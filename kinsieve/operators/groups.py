@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocking import numbered
 from .components import connected_components
 from .scratch import written
 
@@ -50,6 +51,12 @@ def ranked(members: DataFrame, group: str = "group_id") -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order)).withColumn("is_keeper", F.col("rank") == 1)
 
 
+def export_links(members: DataFrame, value: str, group: str = "group_id") -> DataFrame:
+    """(seq, group, rank, link): the export as rows, groups numbered from 1 in their order; no group has to fit into one row."""
+    number = numbered(members.select(group).distinct(), F.col(group), into="_seq")
+    return members.join(number, group).select((F.col("_seq") + 1).alias("seq"), group, "rank", F.col(value).alias("link"))
+
+
 def export_rows(members: DataFrame, value: str, group: str = "group_id") -> DataFrame:
     """One row for each group: its values in keeper order."""
     return members.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias("links"))

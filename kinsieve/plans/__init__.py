@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, records
+from . import media, records, rules
 
-_ALL = (media, records)
+_ALL = (media, records, rules)
 QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}

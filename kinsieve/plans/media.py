@@ -171,9 +171,12 @@ def keeper_order(spark, sf_dir):
     return groups.ranked(o).select("group_id", "item_id", F.col("rank").cast("long").alias("rank"), "is_keeper")
 
 
+def order_files(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("item_id"), F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("mtime"))
+
+
 def export_rows(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("item_id"), F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("mtime"))
-    return groups.export_wide(groups.export_rows(groups.ranked(o), "item_id"))
+    return groups.export_links(groups.ranked(order_files(spark, sf_dir)), "item_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -264,5 +267,5 @@ fin as (select coalesce((select min(least(m.ga, m.gb)) from ml m where al.g in (
 sz as (select g, count(*) n from fin group by 1 having count(*) > 1)
 select n, count(*) n_groups from sz group by 1""",
     "keeper_order": f"with o as (select o_custkey group_id, o_orderkey item_id, o_totalprice size, o_orderdate mtime from orders) select group_id, item_id, {_RANK.format('group_id')} rank, {_RANK.format('group_id')} = 1 is_keeper from o",
-    "export_rows": f"with o as (select o_custkey group_id, o_orderkey item_id, o_totalprice size, o_orderdate mtime from orders), r as (select *, {_RANK.format('group_id')} r from o) select group_id, max(case when r = 1 then item_id end) link_1, max(case when r = 2 then item_id end) link_2, max(case when r = 3 then item_id end) link_3 from r group by 1",
+    "export_rows": f"with o as (select o_custkey group_id, o_orderkey item_id, o_totalprice size, o_orderdate mtime from orders) select dense_rank() over (order by group_id) seq, group_id, {_RANK.format('group_id')} rank, item_id link from o",
 }

@@ -17,8 +17,12 @@ def test_export_holds_every_link(spark):
     want = {}
     for r in sorted(media.keeper_order(spark, FOLDER).collect(), key=lambda r: r["rank"]):
         want.setdefault(r.group_id, []).append(r.item_id)
-    got = {r.group_id: [x for x in list(r)[1:] if x is not None] for r in media.export_rows(spark, FOLDER).collect()}
-    assert got == want and max(map(len, want.values())) > 3
+    got = {}
+    for r in sorted(media.export_rows(spark, FOLDER).collect(), key=lambda r: (r.seq, r["rank"])):
+        got.setdefault(r.group_id, []).append(r.link)
+    assert got == want and list(got) == sorted(want) and max(map(len, want.values())) > 3
+    wide = groups.export_wide(groups.export_rows(groups.ranked(media.order_files(spark, FOLDER)), "item_id"))
+    assert {r.group_id: [x for x in list(r)[1:] if x is not None] for r in wide.collect()} == want
     assert groups.export_wide(spark.createDataFrame([], "group_id long, links array<long>")).columns == ["group_id"]
 
 
