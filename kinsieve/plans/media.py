@@ -2,7 +2,8 @@
 
 A row of events is a file: user_id its item, value its duration. A run of ten
 vectors is a file with ten frames; a frame's hash is the signs of its 64
-numbers, its patches are a 4 x 4 grid of four numbers each.
+numbers, its patches are a 4 x 4 grid of four numbers each. Colours are the signs
+of a frame's first three numbers, its sound the lower half of its hash.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, bucket, frames (sorted by place), hashes, patches."""
+    """file_id, bucket, frames (sorted by place), hashes, patches, hist (colours), words (sound)."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") / 10).cast("long").alias("file_id"), (F.col("vec_id") % 10).alias("fr"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     f = e.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fr", "v"))), lambda x: x["v"]).alias("frames"))
     word = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("long")))
     cells = lambda v: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: V.l2_normalised(F.slice(v, p * 4 + 1, F.lit(4))))
-    return f.select("file_id", (F.col("file_id") % 2).cast("string").alias("bucket"), "frames", F.transform("frames", lambda v: F.array(word(v))).alias("hashes"), F.transform("frames", cells).alias("patches"))
+    g = f.select("file_id", (F.col("file_id") % 2).cast("string").alias("bucket"), "frames", F.transform("frames", lambda v: F.array(word(v))).alias("hashes"), F.transform("frames", cells).alias("patches"))
+    octant = F.transform("frames", lambda v: sum(((F.get(v, F.lit(i)) > 0).cast("int") * 2 ** (2 - i) for i in range(3)), F.lit(0)))
+    hist = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter(octant, lambda x: x == b)) / F.size("frames"))
+    return g.withColumns({"hist": hist, "words": F.transform("hashes", lambda h: F.get(h, F.lit(0)).bitwiseAND(2**32 - 1))})
 
 
 def frame_pairs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -121,13 +125,15 @@ def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # scored once: both branches below read the scores
     p = written(blocking.bucket_pairs(files, ["file_id", "hashes"]).select("a_file_id", "b_file_id", V.hash_score(V.hash_distances(F.col("a_hashes"), F.col("b_hashes")), O).alias("score")))
     near, far = p.where(F.col("score") <= O.phash_distance_threshold), p.where(~F.coalesce(F.col("score") <= O.phash_distance_threshold, F.lit(False)))
-    side = lambda x: files.select(F.col("file_id").alias(f"{x}_file_id"), F.col("frames").alias(f"{x}_frames"), F.col("patches").alias(f"{x}_patches"))
+    parts = ("frames", "patches", "hist", "words")
+    side = lambda x: files.select(*(F.col(c).alias(f"{x}_{c}") for c in ("file_id", *parts)))
     near = near.join(side("a"), "a_file_id").join(side("b"), "b_file_id")
+    near = near.withColumns({"cd": V.bhattacharyya(F.col("a_hist"), F.col("b_hist")), "audio_dist": V.fingerprint_distance(F.col("a_words"), F.col("b_words"), 1)})
     near = verdict.frame_stats(near, "a_frames", "b_frames", O)
     near = verdict.patch_stats(near, "a_patches", "b_patches", 4, O)
-    near = verdict.center_stats(near, "a_patches", "b_patches", 4, 2).drop("a_frames", "b_frames", "a_patches", "b_patches")
+    near = verdict.center_stats(near, "a_patches", "b_patches", 4, 2).drop(*(f"{x}_{c}" for x in "ab" for c in parts))
     both = near.unionByName(far, allowMissingColumns=True)
-    return verdict.cascade(both.withColumns({"cd": F.lit(None).cast("double"), "audio_dist": F.lit(None).cast("double")}), O)
+    return verdict.cascade(both, O)
 
 
 def gate_cascade(spark, sf_dir):
@@ -219,8 +225,12 @@ _RELAXED = f"(hot_ratio <= {O.relaxed_hot_ratio} and corner >= {O.relaxed_corner
 _WIDE = f"max <= {O.t_max} * {O.anim_max_override_factor}"
 _RATIO = "max / greatest(mean, 1e-9)"
 _PEAK = f"{_RATIO} > {O.t_ratio} and max > {O.t_peakmin}"
-_GATES = f"""{_SCORE}, {_STAT}, {_PATCH}, {_CENTER},
+_COLOR = """cb as (select f, list_sum(list_transform(range(1, 4), lambda i: case when v[i] > 0 then 2 ** (3 - i) else 0 end)) bin, count(*) c from fr group by 1, 2), ct as (select f, bin, c / sum(c) over (partition by f) p from cb),
+cd as (select a, b, sqrt(greatest(0, 1 - least(1, coalesce(sum(sqrt(x.p * y.p)), 0)))) cd from (select distinct a, b from pr) left join ct x on x.f = a left join ct y on y.f = b and y.bin = x.bin group by 1, 2)"""
+_SOUND = "ad as (select a, b, sum(list_sum(list_transform(range(33, 65), lambda i: case when (va[i] > 0) <> (vb[i] > 0) then 1 else 0 end))) / (32.0 * count(*)) ad from pr group by 1, 2)"
+_GATES = f"""{_SCORE}, {_STAT}, {_PATCH}, {_CENTER}, {_COLOR}, {_SOUND},
 gt as (select a, b, case when score is null or score > {O.phash_distance_threshold} then 'NO phash'
+  when cd > {O.color_distance_threshold} and not ({O.audio_merge_override_color} and ad <= {O.audio_merge_threshold}) then 'NO color'
   when mean > {O.t_mean} then 'NO semantic_mean'
   when (p90 <= {O.t_p90} or (max > {O.t_max} and mid <= {O.sparse_mid_count} and above <= {O.sparse_mid_count} and mean <= {O.t_mean})) then case when kind = 'content_diff_center_persistent' then 'NO drift_center_persistent' else 'YES drift_exempt' end
   when max > {O.t_max} and kind = 'watermark_strong' then 'YES max_strong'
@@ -232,7 +242,7 @@ gt as (select a, b, case when score is null or score > {O.phash_distance_thresho
   when {_PEAK} then 'NO semantic_peak'
   when kind = 'content_diff_heavy' and {_RATIO} < {O.heavy_min_ratio} then 'YES heavy_degraded'
   when kind in ('content_diff_heavy', 'content_diff_center_persistent') then 'NO patch_content'
-  else 'YES clean' end g from sc join fs using (a, b) join pk using (a, b) join cs using (a, b))"""
+  else 'YES clean' end g from sc join fs using (a, b) join pk using (a, b) join cs using (a, b) join cd using (a, b) join ad using (a, b))"""
 _USERS = f"""us as (select user_id f, cast(cast(round_even(avg(value), 0) as bigint) as varchar) bucket from events group by 1),
 hb as (select user_id f, event_type || (hour(ts) // 6) bin, count(*) / any_value(t) p from events join (select user_id u, count(*) t from events group by 1) on u = user_id group by 1, 2),
 up as (select x.f a, y.f b from us x join us y on x.bucket = y.bucket and x.f < y.f)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinsieve.operators import archive, blocking
 from kinsieve.plans import rules
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(rules.QUERIES))
