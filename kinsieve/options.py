@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 
@@ -90,3 +92,19 @@ SCALED = Options(
     t_ratio=1.14, t_peakmin=0.5, heavy_min_ratio=1.10, patch_hot_threshold=0.80, weak_center_max=0.35, anim_center_max=0.35, weak_hot_ratio_max=0.14,
     color_distance_threshold=0.61, audio_merge_override_color=True, audio_merge_threshold=0.47,
 )
+
+
+# The settings that each kind of feature depends on, and the version of its layout.
+FEATURES = {
+    "visual": (("sample_frames", int), ("phash_size", int), ("video_window_seconds", float), ("seek_ratio", float), ("color_hist_bins_h", int), ("color_hist_bins_s", int), ("visual_schema_version", 2)),
+    "semantic": (("enabled", bool), ("model", str), ("semantic_sample_frames", int), ("semantic_schema_version", 2)),
+    "patch": (("enabled", bool), ("model", str), ("semantic_sample_frames", int), ("grid", int), ("semantic_patch_schema_version", 1)),
+    "audio": (("audio_window_seconds", int), ("seek_ratio", float), ("fpcalc_path", str), ("ffmpeg_path", str), ("audio_schema_version", 2)),
+}
+
+
+def feature_hash(kind: str, o: Options, **settings) -> str:
+    """The configuration hash that a stored feature is looked up by: settings by name, else the option of that name; a missing one is an error."""
+    value = lambda name: settings[name] if name in settings else getattr(o, name)
+    chosen = {name: kind_of if isinstance(kind_of, int) else kind_of(value(name)) for name, kind_of in FEATURES[kind]}
+    return hashlib.sha1(json.dumps(chosen, sort_keys=True).encode()).hexdigest()

@@ -1,10 +1,13 @@
 """Rules around an archive on small rows; every rule query against its DuckDB twin."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from kinsieve.operators import archive, blocking
+from kinsieve.options import Options, feature_hash
 from kinsieve.plans import rules
 
 FOLDER = "/root/testdata/sf0.01"
@@ -46,3 +49,15 @@ def test_numbers_run_on_over_partitions(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     assert all(r.k == r.place for r in blocking.numbered(rows, F.col("k")).collect())
     assert blocking.numbered(rows.limit(0), F.col("k")).count() == 0
+
+
+def test_feature_hashes():
+    o = Options()
+    plain = '{"color_hist_bins_h": 16, "color_hist_bins_s": 4, "phash_size": 12, "sample_frames": 36, "seek_ratio": 0.5, "video_window_seconds": 15.0, "visual_schema_version": 2}'
+    assert feature_hash("visual", o) == hashlib.sha1(plain.encode()).hexdigest()
+    assert feature_hash("visual", o, color_hist_bins_h=8) != feature_hash("visual", o) == feature_hash("visual", o, grid=7)
+    model = dict(enabled=True, model="m", semantic_sample_frames=30)
+    assert feature_hash("patch", o, grid=7, **model) != feature_hash("patch", o, grid=8, **model)
+    assert feature_hash("semantic", o, **model) == feature_hash("semantic", o, grid=8, **model)
+    with pytest.raises(AttributeError):
+        feature_hash("audio", o)
