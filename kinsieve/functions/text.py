@@ -164,3 +164,11 @@ def job_id(ids: Column) -> Column:
 
 def lease_token(job: Column, item: Column, attempt: Column) -> Column:
     return F.sha1(F.concat_ws(":", job, item, attempt.cast("string")).cast("binary"))
+
+
+def toml_scalar(x: Column, kind: str) -> Column:
+    """A value of that kind (string, boolean, int, double) as TOML text; strings are quoted as in JSON."""
+    if kind == "string":
+        quoted = F.to_json(F.array(x))
+        return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return x.cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import path_key
@@ -86,3 +86,57 @@ def signature_errors(bucket: Column, hashes: Column, audio: Column, both: bool)
 def eligible_signatures(files: DataFrame, both: bool) -> DataFrame:
     """Files (bucket, hashes, audio) that may be compared."""
     return files.where(F.size(signature_errors(F.col("bucket"), F.col("hashes"), F.col("audio"), both)) == 0)
+
+
+def audio_needed(both: bool, rescue: bool) -> bool:
+    """Whether signatures need sound: as a part of their key, or to rescue a colour gate."""
+    return both or rescue
+
+
+def audio_ready(digest: Column, raw: Column, both: bool, rescue: bool) -> Column:
+    """Whether a stored sound does for that; the rescue compares raw fingerprints."""
+    there = lambda c: F.coalesce(c != "", F.lit(False))
+    if not audio_needed(both, rescue):
+        return F.lit(True)
+    return there(digest) & there(raw) if rescue else there(digest)
+
+
+def log_mode(previous: Column) -> Column:
+    """w, a fresh log, after a completed run; a, the log goes on, after any other or none."""
+    return F.when(previous == "completed", "w").otherwise("a")
+
+
+def final_state(exit_code: Column) -> Column:
+    return F.when(exit_code == 0, "completed").otherwise("incomplete")
+
+
+def removal_outcome(session: Column, fast: Column, http: Column, ok: Column, before: Column, after: Column, last: Column) -> Column:
+    """(success, verified, reason) of one attempt to remove an item, reason again where another attempt is due.
+
+    before and after are its page's states (subscribed, not_subscribed, unknown); fast attempts look at the reply only.
+    """
+    result = lambda success, verified, reason: F.struct(F.lit(success).alias("success"), F.lit(verified).alias("verified"), (reason if isinstance(reason, Column) else F.lit(reason).cast("string")).alias("reason"))
+    code = F.concat(F.lit("http_"), http.cast("string"))
+    again = result(False, False, "again")
+    return (
+        F.when(~session, result(False, False, "no_sessionid"))
+        .when(fast, F.when(http != 200, result(False, False, code)).when(ok, result(True, False, "fast")).otherwise(result(False, False, "bad_response")))
+        .when(before == "not_subscribed", result(True, True, "already_not_subscribed"))
+        .when((http == 200) & ok & (after == "not_subscribed"), result(True, True, None))
+        .when(~last, again)
+        .when(http != 200, result(False, False, code))
+        .when(~ok, result(False, False, "bad_response"))
+        .when(after == "unknown", result(True, False, "verify_unknown"))
+        .otherwise(result(False, False, "still_subscribed"))
+    )
+
+
+def idle_wait(polls: DataFrame, keys: list[str]) -> DataFrame:
+    """polls (at, seq, found) with wait, the ms before the next poll: 2500, after each further empty one 1.4 times as long, up to 15000."""
+    steps = [2500]
+    while steps[-1] < 15000:
+        steps.append(min(15000, int(steps[-1] * 1.4 + 0.5)))
+    order = Window.partitionBy(*keys).orderBy("at", "seq")
+    stretch = polls.withColumn("_stretch", F.count_if(F.col("found") > 0).over(order))
+    empty = F.count_if(F.col("found") == 0).over(Window.partitionBy(*keys, "_stretch").orderBy("at", "seq"))
+    return stretch.withColumn("wait", F.get(F.array(*map(F.lit, steps)), F.least(empty, F.lit(len(steps) - 1)).cast("int"))).drop("_stretch")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import key_id
 from .scratch import written
 
+# Endings of archived videos.
+ARCHIVED = ("mp4", "webm", "mkv", "avi", "wmv", "mov", "m4v")
+
 
 def item_reason(result: Column, banned: Column, ban_reason: Column, visibility: Column, title: Column) -> Column:
     """Why an item is delisted; null if it isn't. Missing values count as 0, 0, '', -1 and ''."""
@@ -123,6 +126,26 @@ def unsubscribe_case(active: Column, orphan: Column) -> Column:
     return F.when((active == 0) & (orphan == 0), "none").when(active == 0, "orphan_only").otherwise(F.when(orphan > 0, "active_and_orphan").otherwise("active"))
 
 
+def manifest(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(item_id, rel) of folder keys that name a video of an archived item; each path once, whatever its case."""
+    path = F.replace(F.col(key), F.lit("\\"), F.lit("/"))
+    part = lambda n: F.regexp_extract(path, r"(?i)(/projects/(?:myprojects|backup)/([0-9]+)/.+)$", n)
+    found = keys.select(part(2).alias("item_id"), part(1).alias("rel")).where((F.col("item_id") != "") & F.lower(F.substring_index("rel", ".", -1)).isin(*ARCHIVED))
+    return found.groupBy(F.lower("rel").alias("_rel")).agg(F.min(F.struct("rel", "item_id")).alias("_m")).select("_m.item_id", "_m.rel")
+
+
+def media_gaps(projects: DataFrame, target: DataFrame, key: str = "item_id") -> DataFrame:
+    """Items of projects (key, file) whose media file isn't among target (key, rel): none named, not there, or with a step upwards."""
+    file = F.replace(F.col("file"), F.lit("\\"), F.lit("/"))
+    named = projects.select(key, F.when(~F.array_contains(F.split(file, "/"), ".."), F.regexp_replace(file, r"^(\./)+", "")).alias("rel"))
+    return named.join(target.select(key, "rel"), [key, "rel"], "left_anti").select(key).distinct()
+
+
+def union_ids(*lists: DataFrame, key: str = "item_id") -> DataFrame:
+    """Every id of the lists once."""
+    return reduce(DataFrame.unionByName, (x.select(key) for x in lists)).distinct()
+
+
 def safe_manifest(entries: DataFrame) -> DataFrame:
     """Entries (item_id, rel) with a numeric id, a known start, no step upwards; each path once, whatever its case."""
     ok = F.col("item_id").rlike("^[0-9]+$") & F.col("rel").rlike(r"^projects/(?:myprojects|backup)/[0-9]+/") & ~F.array_contains(F.split("rel", "/"), "..")

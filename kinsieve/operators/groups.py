@@ -57,6 +57,12 @@ def export_links(members: DataFrame, value: str, group: str = "group_id") -> Dat
     return members.join(number, group).select((F.col("_seq") + 1).alias("seq"), group, "rank", F.col(value).alias("link"))
 
 
+def dual_export(members: DataFrame, links: str, folders: str, group: str = "group_id") -> tuple[DataFrame, DataFrame]:
+    """The export as rows of links and as rows of folders, groups and ranks numbered alike."""
+    both = export_links(members.withColumn("_both", F.struct(F.col(links).alias("link"), F.col(folders).alias("folder"))), "_both", group)
+    return tuple(both.select("seq", group, "rank", F.col("link")[name].alias(name)) for name in ("link", "folder"))
+
+
 def export_rows(members: DataFrame, value: str, group: str = "group_id") -> DataFrame:
     """One row for each group: its values in keeper order."""
     return members.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias("links"))

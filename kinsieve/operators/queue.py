@@ -1,4 +1,4 @@
-"""A durable task queue as a fold over its events, and the scheduler's choice, all native expressions.
+"""A durable task queue: rules as native expressions, a fold over its events, and the scheduler's choice.
 
 States: queued, inflight, success, failed. Events of an item in order of time:
 start, lease, ack (ok, reason, token), expire. An ack of an item that isn't in
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import backoff, retry_hint_ms
 from ..functions.text import lease_token
+from .folds import walked
 
 #: Seconds of a lease, and attempts at most.
 LEASE, DELAY, ATTEMPTS = 90.0, 5.0, 3
@@ -43,11 +44,38 @@ def step(s: Column, e: Column, lease: float = LEASE, delay: float = DELAY, most:
     )
 
 
+def applied(state: DataFrame, events: DataFrame, keys: list[str], **limits) -> DataFrame:
+    """state after at most one event of each task, without Python; tasks without an event stay as they are."""
+    fields = ["status", "attempts", "next_ts", "token", "error"]
+    both = state.join(events.select(*keys, F.struct("at", "kind", "ok", "reason", "token").alias("_e")), keys, "left")
+    after = F.when(F.col("_e").isNull(), F.struct(*fields)).otherwise(step(F.struct(*fields), F.col("_e"), **limits))
+    return both.withColumn("_s", after).select(*[F.col("_s")[c].alias(c) if c in fields else F.col(c) for c in state.columns])
+
+
+def _wait(attempts: int, reason: str | None, delay: float) -> float:
+    plain = min(120.0, delay * 2.0 ** (attempts - 1))
+    return max(plain, min(120.0, 10.0 * 2.0 ** (attempts - 1))) if reason and "429" in reason else plain
+
+
+def advance(s: tuple, e, lease: float = LEASE, delay: float = DELAY, most: int = ATTEMPTS) -> tuple:
+    """One event on (status, attempts, next_ts, token, error); the same rules as step(), for folds and streams."""
+    status, attempts, next_ts, token, error = s
+    back = lambda why, wait: ("failed" if attempts >= most else "queued", attempts, e.at + wait, None, why)
+    if status == "inflight" and next_ts <= e.at:
+        status, attempts, next_ts, token, error = back("result_unconfirmed", delay)
+    if e.kind == "start" and status != "success":
+        return ("queued", 0, 0.0, None, None)
+    if e.kind == "lease" and status == "queued" and next_ts <= e.at:
+        return ("inflight", attempts + 1, e.at + lease, e.token or str(attempts + 1), None)
+    if e.kind == "ack" and status == "inflight" and (not e.token or e.token == token):
+        return ("success", attempts, 0.0, None, None) if e.ok else back(e.reason or "unconfirmed_failure", _wait(attempts, e.reason, delay))
+    return (status, attempts, next_ts, token, error)
+
+
 def folded(events: DataFrame, keys: list[str], **limits) -> DataFrame:
-    """The state of each task after its events (at, seq, kind, ok, reason, token); one task's events are few."""
-    start = F.expr("named_struct('status', 'queued', 'attempts', 0, 'next_ts', cast(0 as double), 'token', cast(null as string), 'error', cast(null as string))")
-    log = F.array_sort(F.collect_list(F.struct("at", "seq", "kind", "ok", "reason", "token")))
-    return events.groupBy(*keys).agg(log.alias("log")).select(*keys, F.aggregate("log", start, lambda s, e: step(s, e, **limits)).alias("s")).select(*keys, "s.*")
+    """The state of each task after its events (at, seq, kind, ok, reason, token), however many they are."""
+    schema = "status string, attempts int, next_ts double, token string, error string"
+    return walked(events, keys, ["at", "seq"], lambda: ("queued", 0, 0.0, None, None), lambda s, e: advance(s, e, **limits), schema)
 
 
 def resumed(state: DataFrame, wanted: DataFrame, restart: bool = False) -> DataFrame:

@@ -31,6 +31,25 @@ def with_twin(files: DataFrame, features: DataFrame, value: str, twin: str = "tw
     return both.withColumn(value, F.coalesce("_own", "_twin")).withColumn("mirrored", F.col("_own").isNull() & F.col("_twin").isNotNull()).drop("_own", "_twin")
 
 
+def with_twins(files: DataFrame, features: DataFrame, value: str, twins: str = "twin_paths") -> DataFrame:
+    """The feature of a file's own path, else of the first of its twin paths (an array, null or empty: none) that has one of the same size."""
+    places = F.concat(F.array("path"), F.coalesce(twins, F.expr("cast(array() as array<string>)")))
+    tried = files.select("path", "size", places.alias("_places")).distinct().select(F.col("path").alias("_path"), "size", F.posexplode("_places").alias("_at", "path"))
+    hits = tried.join(features.where(F.col(value).isNotNull()).select("path", "size", F.struct(F.col(value)).alias("_f")), ["path", "size"])
+    best = hits.groupBy(F.col("_path").alias("path"), "size").agg(F.min_by("_f", "_at")[value].alias(value), (F.min("_at") > 0).alias("mirrored"))
+    return files.join(best, ["path", "size"], "left").withColumn("mirrored", F.coalesce("mirrored", F.lit(False)))
+
+
+def unreported(outbox: DataFrame, acked: DataFrame, keys: list[str]) -> DataFrame:
+    """Results that no acknowledgement covers, to be sent again before new work is asked for; replays are harmless, see the queue."""
+    return outbox.join(acked.select(*keys).distinct(), keys, "left_anti")
+
+
+def update_counters(changed: DataFrame, *keys: str) -> DataFrame:
+    """Counts of changed_updates(): received, and unchanged that nothing need redraw."""
+    return changed.groupBy(*keys).agg(F.count("*").alias("received"), F.count_if(~F.col("keep")).alias("unchanged"))
+
+
 def pruned(features: DataFrame, existing: DataFrame) -> DataFrame:
     return features.join(existing.select("path").distinct(), "path", "left_semi")
 
@@ -45,15 +64,18 @@ def leaves(records: DataFrame, key: str, props: str) -> DataFrame:
 def changed_updates(updates: DataFrame, current: DataFrame, key: str = "id", props: str = "props", least: int = 50) -> DataFrame:
     """updates with keep: false only where a queued update of one record says nothing new.
 
-    updates: update_id, key, props, status, local, ispreset; current: key, props. Batches under `least` rows pass whole.
+    updates: update_id, key, props, status, local, ispreset; current: key, props and maybe ispreset. Of several
+    records of a key each must hold what the update says, and none may be a preset. Batches under `least` rows pass whole.
     """
     large = updates.count() >= least
     twice = updates.groupBy(key).agg((F.count("*") > 1).alias("_twice"))
     news = leaves(updates.select(F.struct("update_id", key).alias("u"), props), "u", props).select("u.update_id", F.col(f"u.{key}").alias(key), "path", "value")
-    old = leaves(current, key, props)
-    differs = news.join(old, [key, "path", "value"], "left_anti").select("update_id").distinct().withColumn("_differs", F.lit(True))
-    known = current.select(key).distinct().withColumn("_known", F.lit(True))
+    held = leaves(current, key, props).groupBy(key, "path", "value").agg(F.count("*").alias("_held"))
+    preset = F.coalesce("ispreset", F.lit(False)) if "ispreset" in current.columns else F.lit(False)
+    known = current.groupBy(key).agg(F.count("*").alias("_known"), F.bool_or(preset).alias("_preset"))
+    lacking = news.join(known, key).join(held, [key, "path", "value"], "left").where(F.coalesce("_held", F.lit(0)) < F.col("_known"))
+    differs = lacking.select("update_id").distinct().withColumn("_differs", F.lit(True))
     joined = updates.join(twice, key, "left").join(differs, "update_id", "left").join(known, key, "left")
     queued = F.coalesce("status", F.lit("")).isin("pending", "downloading")
-    drop = F.lit(large) & queued & ~F.coalesce("local", F.lit(False)) & ~F.coalesce("ispreset", F.lit(False)) & ~F.coalesce("_twice", F.lit(True)) & F.col("_known").isNotNull() & F.col("_differs").isNull()
+    drop = F.lit(large) & queued & ~F.coalesce("local", F.lit(False)) & ~F.coalesce("ispreset", F.lit(False)) & ~F.coalesce("_twice", F.lit(True)) & F.col("_known").isNotNull() & ~F.coalesce("_preset", F.lit(True)) & F.col("_differs").isNull()
     return joined.withColumn("keep", ~drop).select(*updates.columns, "keep")

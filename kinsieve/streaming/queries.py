@@ -10,31 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import store
-from ..operators.queue import ATTEMPTS, DELAY, LEASE
+from ..operators.queue import LEASE, advance
 
 QUEUE_STATE = "status string, attempts int, next_ts double, token string, error string"
 
 
-def _wait(attempts: int, reason: str | None) -> float:
-    plain = min(120.0, DELAY * 2.0 ** (attempts - 1))
-    return max(plain, min(120.0, 10.0 * 2.0 ** (attempts - 1))) if reason and "429" in reason else plain
-
-
-def advance(s: tuple, e, lease: float = LEASE, most: int = ATTEMPTS) -> tuple:
-    """One event on (status, attempts, next_ts, token, error); the same rules as operators.queue.step()."""
-    status, attempts, next_ts, token, error = s
-    back = lambda why, wait: ("failed" if attempts >= most else "queued", attempts, e.at + wait, None, why)
-    if status == "inflight" and next_ts <= e.at:
-        status, attempts, next_ts, token, error = back("result_unconfirmed", DELAY)
-    if e.kind == "start" and status != "success":
-        return ("queued", 0, 0.0, None, None)
-    if e.kind == "lease" and status == "queued" and next_ts <= e.at:
-        return ("inflight", attempts + 1, e.at + lease, e.token or str(attempts + 1), None)
-    if e.kind == "ack" and status == "inflight" and (not e.token or e.token == token):
-        return ("success", attempts, 0.0, None, None) if e.ok else back(e.reason or "unconfirmed_failure", _wait(attempts, e.reason))
-    return (status, attempts, next_ts, token, error)
-
-
 def queue_stream(events: DataFrame, lease: float = LEASE) -> DataFrame:
     """Latest state of each (job, item_id) after every micro-batch of events (at, seq, kind, ok, reason, token)."""
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -137,6 +137,11 @@ def test_delta(spark):
     assert keep[10] is False and keep[11] and keep[12] and all(keep[100 + i] for i in range(60))
     few = {r.update_id: r.keep for r in store.changed_updates(df.limit(3), current).collect()}
     assert all(few.values())
+    # of several records each must hold it, and none may be a preset
+    several = spark.createDataFrame([(i, props, preset) for i in range(60) for props, preset in ((f'{{"a":{i % 3}}}', i == 0), ('{"a":0,"b":1}', False))], "id long, props string, ispreset boolean")
+    same = spark.createDataFrame([(i, i, '{"a":0}', "pending", False, False) for i in range(60)], df.schema)
+    keep = {r.update_id: r.keep for r in store.changed_updates(same, several).collect()}
+    assert keep == {i: i == 0 or i % 3 != 0 for i in range(60)}
 
 
 def test_sources(spark, tmp_path):
