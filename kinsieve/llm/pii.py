@@ -94,16 +94,14 @@ def _placed(text: Column, hits: Column, kind: str, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)").alias("out"))
-    walked = F.aggregate(
+    # only confirmed matches enter the array, which grows by copies
+    span = lambda a, x: F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["n"]).alias("e"), x["m"].alias("m"))
+    return F.aggregate(
         steps,
         start,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["n"]).alias("e"), x["m"].alias("m")))).alias("out"),
-        ),
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.when(_confirmed(kind, x["m"]), F.concat(a["out"], F.array(span(a, x)))).otherwise(a["out"]).alias("out")),
         lambda a: a["out"],
     )
-    return F.filter(walked, lambda x: _confirmed(kind, x["m"]))
 
 
 def _scored(text: Column, spans: Column, kind: str) -> Column:
