@@ -272,8 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())), batch.column(1)], names=["ids", "n", "label"])
 
     table = docs.select("doc_id", text).join(picked, "doc_id").select(text, F.col("label").cast("int")).mapInArrow(run, "ids array<int>, n array<int>, label int").toArrow()
-    rows = [(i.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(float), y) for i, n, y in zip(*(table.column(c).combine_chunks() for c in ("ids", "n")), table.column("label").to_pylist(), strict=True)]
-    rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
+    ids, counts, marks = (table.column(c).combine_chunks() for c in ("ids", "n", "label"))
+    del table
+    rows = [(i.values.to_numpy(), n.values.to_numpy(), y) for i, n, y in zip(ids, counts, marks.to_pylist(), strict=True)]  # views, no copies
+    rows.sort(key=lambda r: (r[2], len(r[0]), xxhash.xxh3_128_digest(r[0].tobytes() + r[1].tobytes())))
     total = sum(shares.values())
     if len({y for *_, y in rows}) < 2:
         share = min(1 - 1e-6, max(1e-6, shares.get(1, 0) / total if total else 0.0))
