@@ -11,6 +11,8 @@ from ..operators.scratch import dropped, shared_folder, written  # noqa: F401
 
 #: Entries that a worker's word cache may hold before it starts afresh; bounds the worker's memory.
 CACHE_ENTRIES = 400_000
+#: Longer words are not kept; with the above it bounds the cache in bytes.
+CACHED_LENGTH = 128
 #: Words: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,13 +27,15 @@ def fold(doc_id: str, n: int) -> Column:
 
 
 class Cache(dict):
-    """word -> value, made on the first miss, with a bounded number of entries."""
+    """word -> value, made on the first miss, with a bounded number of entries of bounded length."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, word):
+        if len(word) > CACHED_LENGTH:
+            return self.make(word)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         value = self[word] = self.make(word)
