@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_filter_audit
 from .bpe import op10_byte_bpe
 from .decontaminate import OP7_SQL, op7_decontamination
+from .forest import op13_nearest
 from .html import op1_main_text
 from .jaccard import op6_jaccard_join
 from .language import op4_language
+from .manifest import OP12_SQL, op12_merkle_manifest
 from .pii import op3_pii
 from .quality import op2_quality
 from .substring import op5_substring_dedup
@@ -24,9 +27,14 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_nearest": op13_nearest,
 }
 
 ORACLE = {
     "op7_decontamination": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
