@@ -26,17 +26,39 @@ def candidates(files: DataFrame) -> DataFrame:
     return files.join(bucket_counts(files).where("n_files >= 2 and n_items >= 2").select("bucket"), "bucket", "left_semi")
 
 
-def bucket_pairs(files: DataFrame, keep: list[str] | None = None, key: str = "bucket", rows: int = BLOCK_ROWS) -> DataFrame:
-    """a_ and b_ columns of the pairs of one bucket with a_file_id < b_file_id.
+def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, rows: int = BLOCK_ROWS, heavy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on keys with _i and _j, blocks of about `rows` rows of a heavy key's left and right side; join on keys, _i and _j.
 
-    A bucket is dealt into blocks of about `rows`; each pair of blocks is a join
-    key of its own, so one bucket with very many files spreads over many tasks.
+    Each pair of blocks of a key is a join key of its own, so a key with very many rows spreads over many tasks; rows of
+    a light key stay as they are. Only heavy keys, at most a row for each `rows` rows, are looked up.
     """
+    if heavy is None:
+        heavy = _blocks(left, keys, rows).withColumnRenamed("_blocks", "_left").join(_blocks(right, keys, rows).withColumnRenamed("_blocks", "_right"), keys).where("_left > 1 or _right > 1")
+
+    def deal(df: DataFrame, id_: str, own: str, n: str, other: str, m: str) -> DataFrame:
+        some = df.join(heavy, keys, "left").fillna(1, ["_left", "_right"])
+        return some.withColumn(own, F.pmod(F.xxhash64(id_), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("_left", "_right")
+
+    return deal(left, a, "_i", "_left", "_j", "_right"), deal(right, b, "_j", "_right", "_i", "_left")
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, rows: int = BLOCK_ROWS, heavy: DataFrame | None = None) -> DataFrame:
+    """left joined with right on keys, heavy keys dealt into blocks by the ids a and b."""
+    x, y = dealt(left, right, keys, a, b, rows, heavy)
+    return x.join(y, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def bucket_pairs(files: DataFrame, keep: list[str] | None = None, key: str = "bucket", rows: int = BLOCK_ROWS) -> DataFrame:
+    """a_ and b_ columns of the pairs of one bucket with a_file_id < b_file_id."""
     keep = [c for c in (keep or files.columns) if c != key]
-    sizes = files.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_blocks"))
-    dealt = files.select(key, *keep).join(sizes, key).withColumn("_block", F.pmod(F.xxhash64("file_id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    side = lambda x, i, j: dealt.select(F.col(key), F.col(i).alias("_i"), F.col(j).alias("_j"), *(F.col(c).alias(f"{x}_{c}") for c in keep))
-    return side("a", "_block", "_other").join(side("b", "_other", "_block"), [key, "_i", "_j"]).where("a_file_id < b_file_id").drop("_i", "_j")
+    side = lambda x: files.select(F.col(key), *(F.col(c).alias(f"{x}_{c}") for c in keep))
+    # both sides are the same rows: counted once
+    heavy = _blocks(files, [key], rows).where("_blocks > 1").select(key, F.col("_blocks").alias("_left"), F.col("_blocks").alias("_right"))
+    return met(side("a"), side("b"), [key], "a_file_id", "b_file_id", rows, heavy).where("a_file_id < b_file_id")
 
 
 def neighbours(buckets: DataFrame, tolerance: float) -> DataFrame:
@@ -53,20 +75,21 @@ def neighbours(buckets: DataFrame, tolerance: float) -> DataFrame:
     return pairs.groupBy(F.col("a.bucket").alias("bucket")).agg(F.min_by(F.col("b.bucket"), F.col("b.v")).alias("next_bucket"))
 
 
-def cross_bucket_pairs(files: DataFrame, keep: list[str], tolerance: float) -> DataFrame:
+def cross_bucket_pairs(files: DataFrame, keep: list[str], tolerance: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of files of neighbouring buckets; those of one bucket come from bucket_pairs()."""
     near = neighbours(files, tolerance)
     side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in keep]
+    # labels are few beside their files; a bucket has one neighbour
     left = files.select("bucket", *side("a")).join(near, "bucket")
-    return left.join(files.select(F.col("bucket").alias("next_bucket"), *side("b")), "next_bucket")
+    return met(left, files.select(F.col("bucket").alias("next_bucket"), *side("b")), ["next_bucket"], "a_file_id", "b_file_id", rows)
 
 
-def duration_pairs(files: DataFrame, keep: list[str], tolerance: float) -> DataFrame:
+def duration_pairs(files: DataFrame, keep: list[str], tolerance: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs whose true durations differ by at most tolerance, by an equi-join on cells of that length."""
     cell = F.floor(F.col("duration") / tolerance)
     side = lambda x, c: [c.alias("_cell"), F.col("duration").alias(f"{x}_duration"), *(F.col(k).alias(f"{x}_{k}") for k in keep if k != "duration")]
-    left = files.select(*side("a", F.explode(F.array(cell - 1, cell, cell + 1))))
-    return left.join(files.select(*side("b", cell)), "_cell").where((F.col("a_file_id") < F.col("b_file_id")) & (F.abs(F.col("a_duration") - F.col("b_duration")) <= tolerance)).drop("_cell")
+    left, right = files.select(*side("a", F.explode(F.array(cell - 1, cell, cell + 1)))), files.select(*side("b", cell))
+    return met(left, right, ["_cell"], "a_file_id", "b_file_id", rows).where((F.col("a_file_id") < F.col("b_file_id")) & (F.abs(F.col("a_duration") - F.col("b_duration")) <= tolerance)).drop("_cell")
 
 
 def numbered(rows: DataFrame, *order, into: str = "place") -> DataFrame:

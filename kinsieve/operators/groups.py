@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocking import numbered
@@ -21,27 +21,28 @@ def several_items(groups: DataFrame) -> DataFrame:
 
 
 def force_split(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The second item of each pair (a, b) inside one group leaves it for a group of its own."""
-    inside = pairs.select("a", "b").join(groups.select(F.col("item_id").alias("a"), "group_id"), "a").join(groups.select(F.col("item_id").alias("b"), "group_id"), ["b", "group_id"])
+    """The second item of each pair (a, b) inside one group leaves it, with all its rows, for a group of its own."""
+    own = groups.select("group_id", "item_id").distinct()
+    inside = pairs.select("a", "b").join(own.withColumnRenamed("item_id", "a"), "a").join(own.withColumnRenamed("item_id", "b"), ["b", "group_id"])
     evicted = inside.select("group_id", F.col("b").alias("item_id"), F.lit(True).alias("out")).distinct()
-    own = F.when(F.col("out"), F.concat(F.col("group_id").cast("string"), F.lit("#"), F.col("item_id").cast("string"))).otherwise(F.col("group_id").cast("string"))
-    return groups.join(evicted, ["group_id", "item_id"], "left").select(own.alias("group_id"), "item_id")
+    named = F.when(F.col("out"), F.concat(F.col("group_id").cast("string"), F.lit("#"), F.col("item_id").cast("string"))).otherwise(F.col("group_id").cast("string"))
+    return groups.join(evicted, ["group_id", "item_id"], "left").withColumn("group_id", named).select(*groups.columns)
 
 
 def force_merge(groups: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Groups of both items of each pair become one; items of `known` without a group are pulled in, others skip the pair."""
+    """Groups of both items of each pair become one; items of `known` without a group are pulled in (other columns null), others skip the pair."""
     valid = pairs.select("a", "b").join(known.select(F.col("item_id").alias("a")).distinct(), "a", "left_semi").join(known.select(F.col("item_id").alias("b")).distinct(), "b", "left_semi")
     named = lambda x: valid.select(F.col(x).alias("item_id")).distinct()
     missing = named("a").union(named("b")).distinct().join(groups.select("item_id"), "item_id", "left_anti")
-    every = written(groups.select(F.col("group_id").cast("string").alias("group_id"), "item_id").unionByName(missing.select(F.col("item_id").cast("string").alias("group_id"), "item_id")))
-    at = lambda x: every.select(F.col("item_id").alias(x), F.col("group_id").alias(f"g{x}"))
+    every = written(groups.withColumn("group_id", F.col("group_id").cast("string")).unionByName(missing.select(F.col("item_id").cast("string").alias("group_id"), "item_id"), allowMissingColumns=True))
+    at = lambda x: every.select(F.col("item_id").alias(x), F.col("group_id").alias(f"g{x}")).distinct()
     merged = connected_components(valid.join(at("a"), "a").join(at("b"), "b").select("ga", "gb"), "ga", "gb")
-    return every.join(merged, every["group_id"] == merged["node"], "left").select(F.coalesce("component", "group_id").alias("group_id"), "item_id").distinct()
+    return every.join(merged, every["group_id"] == merged["node"], "left").withColumn("group_id", F.coalesce("component", "group_id")).select(*every.columns).distinct()
 
 
-def best_files(files: DataFrame) -> DataFrame:
+def best_files(files: DataFrame, keys: list[str] | tuple[str, ...] = ("item_id",), tie: str = "path") -> DataFrame:
     """The largest file of each item; the least path among equals."""
-    order = Window.partitionBy("item_id").orderBy(F.desc("size"), "path")
+    order = Window.partitionBy(*keys).orderBy(F.desc("size"), tie)
     return files.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
@@ -51,10 +52,10 @@ def ranked(members: DataFrame, group: str = "group_id") -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order)).withColumn("is_keeper", F.col("rank") == 1)
 
 
-def export_links(members: DataFrame, value: str, group: str = "group_id") -> DataFrame:
+def export_links(members: DataFrame, value: str | Column, group: str = "group_id") -> DataFrame:
     """(seq, group, rank, link): the export as rows, groups numbered from 1 in their order; no group has to fit into one row."""
     number = numbered(members.select(group).distinct(), F.col(group), into="_seq")
-    return members.join(number, group).select((F.col("_seq") + 1).alias("seq"), group, "rank", F.col(value).alias("link"))
+    return members.join(number, group).select((F.col("_seq") + 1).alias("seq"), group, "rank", (F.col(value) if isinstance(value, str) else value).alias("link"))
 
 
 def dual_export(members: DataFrame, links: str, folders: str, group: str = "group_id") -> tuple[DataFrame, DataFrame]:

@@ -90,7 +90,7 @@ class Options:
 SCALED = Options(
     phash_bimodal_gap_cap=40.0, phash_trimmed_mean_cap=33.0, phash_distance_threshold=8.0, t_mean=0.51, t_max=0.58, mid_lower=0.55, t_p90=0.53, sparse_mid_count=1,
     t_ratio=1.14, t_peakmin=0.5, heavy_min_ratio=1.10, patch_hot_threshold=0.80, weak_center_max=0.35, anim_center_max=0.35, weak_hot_ratio_max=0.14,
-    color_distance_threshold=0.61, audio_merge_override_color=True, audio_merge_threshold=0.47,
+    color_distance_threshold=0.61, audio_merge_override_color=True, audio_merge_threshold=0.47, audio_min_length=1, center_inner=2,
 )
 
 

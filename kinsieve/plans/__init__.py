@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, records, rules, runs
+from . import detection, media, records, rules, runs
 
-_ALL = (media, records, rules, runs)
+_ALL = (media, detection, records, rules, runs)
 QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}

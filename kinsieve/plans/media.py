@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import vectors as V
-from ..operators import blocking, groups, verdict
+from ..operators import blocking, detection, groups, verdict
 from ..operators.components import connected_components
 from ..operators.scratch import written
 from ..options import SCALED as O  # noqa: N814
+from ..options import Options
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 BINS = [f"{t}{q}" for t in TYPES for q in range(4)]
@@ -100,7 +101,7 @@ def color_distance(spark, sf_dir):
 
 def audio_distance(spark, sf_dir):
     p = blocking.bucket_pairs(user_files(spark, sf_dir), ["file_id", "words"])
-    return _rounded(p.withColumn("distance", V.fingerprint_distance(F.col("a_words"), F.col("b_words"), O.audio_min_length)), ["distance"])
+    return _rounded(p.withColumn("distance", V.fingerprint_distance(F.col("a_words"), F.col("b_words"), Options().audio_min_length)), ["distance"])
 
 
 STATS = ["mean", "max", "p90", "ratio", "mid", "above"]
@@ -116,24 +117,13 @@ def patch_verdict(spark, sf_dir):
 
 
 def center_mask(spark, sf_dir):
-    return _rounded(verdict.center_stats(frame_pairs(spark, sf_dir, "patches"), "a_patches", "b_patches", 4, 2), ["c_mean", "c_max", "c_p90"])
+    return _rounded(verdict.center_stats(frame_pairs(spark, sf_dir, "patches"), "a_patches", "b_patches", 4, O.center_inner), ["c_mean", "c_max", "c_p90"])
 
 
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs through the cascade: hashes first; vectors join only the pairs that the hashes leave."""
+    """Pairs of one bucket through the cascade."""
     files = written(frame_files(spark, sf_dir))
-    # scored once: both branches below read the scores
-    p = written(blocking.bucket_pairs(files, ["file_id", "hashes"]).select("a_file_id", "b_file_id", V.hash_score(V.hash_distances(F.col("a_hashes"), F.col("b_hashes")), O).alias("score")))
-    near, far = p.where(F.col("score") <= O.phash_distance_threshold), p.where(~F.coalesce(F.col("score") <= O.phash_distance_threshold, F.lit(False)))
-    parts = ("frames", "patches", "hist", "words")
-    side = lambda x: files.select(*(F.col(c).alias(f"{x}_{c}") for c in ("file_id", *parts)))
-    near = near.join(side("a"), "a_file_id").join(side("b"), "b_file_id")
-    near = near.withColumns({"cd": V.bhattacharyya(F.col("a_hist"), F.col("b_hist")), "audio_dist": V.fingerprint_distance(F.col("a_words"), F.col("b_words"), 1)})
-    near = verdict.frame_stats(near, "a_frames", "b_frames", O)
-    near = verdict.patch_stats(near, "a_patches", "b_patches", 4, O)
-    near = verdict.center_stats(near, "a_patches", "b_patches", 4, 2).drop(*(f"{x}_{c}" for x in "ab" for c in parts))
-    both = near.unionByName(far, allowMissingColumns=True)
-    return verdict.cascade(both, O)
+    return detection.judged(files, blocking.bucket_pairs(files, ["file_id"]), O, 4)
 
 
 def gate_cascade(spark, sf_dir):
@@ -204,8 +194,8 @@ _CD = "0.5 * (1 - least(1.0, greatest(-1.0, list_inner_product({}, {}))))"
 _STAT = f"""fd as (select a, b, k, {_CD.format('va', 'vb')} d from pr),
 fs as (select a, b, avg(d) mean, max(d) max, quantile_cont(d, 0.9) p90, count(case when d > {O.mid_lower} and d <= {O.t_max} then 1 end) mid, count(case when d > {O.t_max} then 1 end) above from fd group by a, b)"""
 _CELL = "list_transform(v[p * 4 + 1 : p * 4 + 4], lambda x: x / sqrt(list_inner_product(v[p * 4 + 1 : p * 4 + 4], v[p * 4 + 1 : p * 4 + 4])))"
-_PATCH = f"""pv as (select f, k, bucket, p, {_CELL} u from fr, (select unnest(range(0, 16)) p)),
-pd as (select x.f a, y.f b, x.k, x.p, {_CD.format('x.u', 'y.u')} d from pv x join pv y on x.bucket = y.bucket and x.k = y.k and x.p = y.p and x.f < y.f),
+_PATCH = f"""pv as (select f, k, p, {_CELL} u from fr, (select unnest(range(0, 16)) p)),
+pd as (select a, b, x.k, x.p, {_CD.format('x.u', 'y.u')} d from (select distinct a, b from pr) join pv x on x.f = a join pv y on y.f = b and x.k = y.k and x.p = y.p),
 pc as (select a, b, p, count(*) n, count(case when d > {O.patch_hot_threshold} then 1 end) h, p in (5, 6, 9, 10) inn, 2 * (p // 8) + (p % 4) // 2 q from pd group by a, b, p),
 ps as (select a, b, sum(h) hot, max(n) n, sum(case when not inn then h else 0 end) edge, sum(case when inn then h else 0 end) cen,
   count(case when h / n >= {O.persistent_frac} then 1 end) pers, count(case when h / n >= {O.persistent_frac} and not inn then 1 end) pedge,
@@ -228,7 +218,7 @@ _PEAK = f"{_RATIO} > {O.t_ratio} and max > {O.t_peakmin}"
 _COLOR = """cb as (select f, list_sum(list_transform(range(1, 4), lambda i: case when v[i] > 0 then 2 ** (3 - i) else 0 end)) bin, count(*) c from fr group by 1, 2), ct as (select f, bin, c / sum(c) over (partition by f) p from cb),
 cd as (select a, b, sqrt(greatest(0, 1 - least(1, coalesce(sum(sqrt(x.p * y.p)), 0)))) cd from (select distinct a, b from pr) left join ct x on x.f = a left join ct y on y.f = b and y.bin = x.bin group by 1, 2)"""
 _SOUND = "ad as (select a, b, sum(list_sum(list_transform(range(33, 65), lambda i: case when (va[i] > 0) <> (vb[i] > 0) then 1 else 0 end))) / (32.0 * count(*)) ad from pr group by 1, 2)"
-_GATES = f"""{_SCORE}, {_STAT}, {_PATCH}, {_CENTER}, {_COLOR}, {_SOUND},
+_VERDICT = f"""{_STAT}, {_PATCH}, {_CENTER}, {_COLOR}, {_SOUND},
 gt as (select a, b, case when score is null or score > {O.phash_distance_threshold} then 'NO phash'
   when cd > {O.color_distance_threshold} and not ({O.audio_merge_override_color} and ad <= {O.audio_merge_threshold}) then 'NO color'
   when mean > {O.t_mean} then 'NO semantic_mean'
@@ -243,6 +233,7 @@ gt as (select a, b, case when score is null or score > {O.phash_distance_thresho
   when kind = 'content_diff_heavy' and {_RATIO} < {O.heavy_min_ratio} then 'YES heavy_degraded'
   when kind in ('content_diff_heavy', 'content_diff_center_persistent') then 'NO patch_content'
   else 'YES clean' end g from sc join fs using (a, b) join pk using (a, b) join cs using (a, b) join cd using (a, b) join ad using (a, b))"""
+_GATES = f"{_SCORE}, {_VERDICT}"
 _USERS = f"""us as (select user_id f, cast(cast(round_even(avg(value), 0) as bigint) as varchar) bucket from events group by 1),
 hb as (select user_id f, event_type || (hour(ts) // 6) bin, count(*) / any_value(t) p from events join (select user_id u, count(*) t from events group by 1) on u = user_id group by 1, 2),
 up as (select x.f a, y.f b from us x join us y on x.bucket = y.bucket and x.f < y.f)"""
@@ -259,7 +250,7 @@ ORACLE = {
     "hash_distance": f"with {_BITS} select a, b, round(avg(d), 6) distance from hd group by 1, 2",
     "phash_score": f"with {_SCORE} select a, b, round(score, 6) score from sc",
     "color_distance": f"with {_USERS} select a, b, round(sqrt(greatest(0, 1 - least(1, greatest(0, coalesce(sum(sqrt(x.p * y.p)), 0))))), 6) distance from up left join hb x on x.f = a left join hb y on y.f = b and y.bin = x.bin group by 1, 2",
-    "audio_distance": f"with {_USERS}, w as (select user_id f, list(event_id order by event_id) w from events group by 1) select a, b, round(case when least(len(x.w), len(y.w)) >= {O.audio_min_length} then list_sum(list_transform(range(1, least(len(x.w), len(y.w)) + 1), lambda i: bit_count(xor(x.w[i], y.w[i])))) / (32.0 * least(len(x.w), len(y.w))) end, 6) distance from up join w x on x.f = a join w y on y.f = b",
+    "audio_distance": f"with {_USERS}, w as (select user_id f, list(event_id order by event_id) w from events group by 1) select a, b, round(case when least(len(x.w), len(y.w)) >= {Options().audio_min_length} then list_sum(list_transform(range(1, least(len(x.w), len(y.w)) + 1), lambda i: bit_count(xor(x.w[i], y.w[i])))) / (32.0 * least(len(x.w), len(y.w))) end, 6) distance from up join w x on x.f = a join w y on y.f = b",
     "frame_distance_stats": f"with {_PAIRS}, {_STAT} select a, b, round(mean, 6) mean, round(max, 6) max, round(p90, 6) p90, round({_RATIO}, 6) ratio, cast(mid as integer) mid, cast(above as integer) above from fs",
     "patch_verdict": f"with {_PAIRS}, {_PATCH} select a, b, cast(hot as integer) hot, round(hot_ratio, 6) hot_ratio, round(corner, 6) corner, round(center, 6) center, round(dom_q, 6) dom_q, cast(persistent as integer) persistent, round(pers_corner, 6) pers_corner, kind from pk",
     "center_mask": f"with {_PAIRS}, {_PATCH}, {_CENTER} select a, b, round(c_mean, 6) c_mean, round(c_max, 6) c_max, round(c_p90, 6) c_p90 from cs",
