@@ -30,15 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import read, written
 
-TREES, LEAF_ROWS, MAX_DEPTH = 4, 16, 12
+TREES, LEAF_ROWS, MAX_DEPTH = 4, 64, 12
 #: Rows a query looks at, counted in every tree that shows them: WORK * n ** GROWTH.
-WORK, GROWTH = 4.0, 5 / 6
+WORK, GROWTH = 4.5, 5 / 6
 #: Components of the sample that the splits are fitted on.
 SAMPLE = 2**22
-#: Rows, and queries, that meet in one part of a block, about.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
-#: Queries scored at a time.
-CHUNK = 256
+#: Components of the rows, and queries, that meet in one part of a block, about.
+BLOCK_CELLS, BLOCK_QUERIES = 2**22, 2048
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -143,33 +141,33 @@ def scored(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, asked: list[np.ndarray], leaf: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int):
     """(query, id, score) columns: the k best of the rows in the leaves that each query asked for."""
-    found = ([], [], [])
-    leaves, leaf_at = np.unique(leaf, return_inverse=True)
-    lengths = np.sqrt((x * x).sum(1))
+    order = np.argsort(leaf, kind="stable")
+    leaf, x = leaf[order], np.ascontiguousarray(x[order])
+    longest = np.sqrt((x * x).sum(1).max())
     alone: dict[int, list[int]] = {}
-    for c, members in enumerate(ids):
-        if len(members) == 1:
-            alone.setdefault(members[0], []).append(c)
-    for at in range(0, len(q), CHUNK):
-        some = q[at : at + CHUNK]
-        shown = np.zeros((len(some), len(leaves)), bool)
-        for i, own in enumerate(asked[at : at + CHUNK]):
-            shown[i, np.searchsorted(leaves, own[np.isin(own, leaves)])] = True
-        rough = np.where(shown[:, leaf_at], some @ x.T, -np.inf)
-        for i, own in enumerate(q_ids[at : at + CHUNK]):
-            rough[i, alone.get(own, [])] = -np.inf
-        most = min(k + 1, rough.shape[1])
-        last = np.partition(rough, rough.shape[1] - most, axis=1)[:, rough.shape[1] - most]
-        # all that rounding may have put below the last
-        slack = 1e-9 * np.sqrt((some * some).sum(1)) * lengths.max()
-        rows, columns = np.nonzero((rough >= (last - slack)[:, None]) & (rough > -np.inf))
-        score = scored(some[rows], x[columns])
-        for i, (a, b) in enumerate(zip(np.searchsorted(rows, np.arange(len(some)), "left"), np.searchsorted(rows, np.arange(len(some)), "right"), strict=True)):
-            query = q_ids[at + i]
-            members = sorted((-s, own) for s, c in zip(score[a:b], columns[a:b], strict=True) for own in ids[c] if own != query)[:k]
-            found[0].extend([query] * len(members))
-            found[1].extend(own for _, own in members)
-            found[2].extend(-s for s, _ in members)
+    for row, c in enumerate(order):
+        if len(ids[c]) == 1:
+            alone.setdefault(ids[c][0], []).append(row)
+    found = ([], [], [])
+    for query, own, leaves in zip(q_ids.tolist(), q, asked, strict=True):
+        # neighbouring leaves are one stretch of rows
+        first = np.flatnonzero(np.r_[True, np.diff(leaves) > 1])
+        starts = np.searchsorted(leaf, leaves[first], "left")
+        ends = np.searchsorted(leaf, leaves[np.r_[first[1:] - 1, len(leaves) - 1]], "right")
+        rough = np.concatenate([x[s:e] @ own for s, e in zip(starts, ends, strict=True)])
+        rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)])
+        if query in alone:
+            others = ~np.isin(rows, alone[query])
+            rough, rows = rough[others], rows[others]
+        if len(rough) > k + 1:
+            last = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+            # with all that rounding may have put below the last
+            rows = rows[rough >= last - 1e-9 * np.sqrt(own @ own) * longest]
+        score = scored(np.broadcast_to(own, (len(rows), len(own))), x[rows])
+        members = sorted((-s, i) for s, c in zip(score.tolist(), order[rows].tolist(), strict=True) for i in ids[c] if i != query)[:k]
+        found[0].extend([query] * len(members))
+        found[1].extend(i for _, i in members)
+        found[2].extend(-s for s, _ in members)
     return found
 
 
@@ -186,7 +184,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = TREES
     sample = points.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(max(1, SAMPLE // width)).select("v").toArrow()
     forest = fitted(matrix(sample.column("v"), width), float(np.sqrt(square)), n, trees)
     shared = spark.sparkContext.broadcast(forest)
-    blocks = 2 ** max(0, forest.depth - int(np.log2(max(1, n / BLOCK_ROWS))))
+    block_rows = max(1, BLOCK_CELLS // width)
+    # leaves of a block
+    blocks = 2 ** max(0, forest.depth - int(np.log2(max(1, n / block_rows))))
 
     def indexed(batches):
         for batch in batches:
@@ -221,7 +221,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = TREES
 
     asked = written(queries.mapInArrow(asking, "id long, v array<double>, tree long, block long, asked array<long>"))
     kept = kept.withColumn("block", F.floor(F.col("leaf") / blocks))
-    rows_in = kept.groupBy("tree", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_parts"))
+    rows_in = kept.groupBy("tree", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("row_parts"))
     asked_in = asked.groupBy("tree", "block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_parts"))
     # one row for each block, no more of them than leaves
     parts = F.broadcast(rows_in.join(asked_in, ["tree", "block"]))

@@ -86,7 +86,7 @@ def test_search_looks_at_a_part_of_the_rows():
     trees = forest.fitted(x[:5000], 1.0, len(x))
     leaves = trees.leaves(x)
     sizes = np.stack([np.bincount(leaves[:, t], minlength=2**trees.depth) for t in range(forest.TREES)])
-    assert sizes.sum() == forest.TREES * len(x) and sizes.max() < 20 * forest.LEAF_ROWS
+    assert sizes.sum() == forest.TREES * len(x) and sizes.max() < 8 * forest.LEAF_ROWS
     seen, hits = [], []
     for q in range(0, 400, 20):
         met = trees.visited([p[0].tolist() for p in trees.projected(x[q : q + 1])], sizes, 6000)
@@ -99,7 +99,7 @@ def test_search_looks_at_a_part_of_the_rows():
 
 
 def test_hot_blocks_are_dealt_on_both_sides(spark, monkeypatch):
-    monkeypatch.setattr(forest, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(forest, "BLOCK_CELLS", 200)
     monkeypatch.setattr(forest, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(5)
     near = (np.asarray([1.0, 0, 0, 0]) + rng.normal(size=(400, 4)) * 1e-4).tolist()
