@@ -29,7 +29,15 @@ from .learn import Ftrl, sample
 MAX_ROWS, MAX_ALL = 1000, 100_000
 DIMS, GRAMS, EPOCHS, FOLDS, HELD_OUT = 2**16, 4, 3, 4, 2
 CHUNK = 300_000
-WORDS = re.compile(r"[^\W\d_]+").findall
+RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters; fractions, superscripts and numbers in letters' shape are none."""
+    runs = RUNS(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +66,7 @@ def _rows(batches, column: int):
         texts = batch.column(column)
         first, rows, n = 0, [], 0
         for i in range(len(texts)):
-            rows.append(WORDS((texts[i].as_py() or "").lower()))
+            rows.append(words_of((texts[i].as_py() or "").lower()))
             n += len(rows[-1])
             if n >= CHUNK or i + 1 == len(texts):
                 yield batch, first, rows
