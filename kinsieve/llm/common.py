@@ -26,6 +26,13 @@ def fold(doc_id: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 class Cache(dict):
     """word -> value, made on the first miss, with a bounded number of entries of bounded length."""
 

@@ -14,7 +14,7 @@ check but not that promise.
 Cases: null and empty texts hit nothing; items of up to four words are found as
 they are, longer ones with a fifth of their words replaced. Repeated rows count once; rows with one id and
 other texts are apart, and both appear under the id. Null ids are kept. Empty
-tables give an empty result. Extra columns are ignored.
+tables give an empty result. Extra columns are ignored, and kept by without_contaminated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free, read
 
 #: Fixed masks: positions that count. The first two hit every layout of 3 substitutions in 15 words and of a fifth of an item of 7 to 14 words.
 MASKS = ("1111", "11101", "10111", "11011")
@@ -83,8 +83,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs but for those that hold a benchmark passage."""
     found = contaminated(docs, items).select("doc_id", "h").distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_h"] == found["h"]), "left_anti").drop("_h")
+    own = free(docs, "_h")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed[own] == found["h"]), "left_anti").drop(own)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Luhn, mod-97. Words just before a span move its score. The four base kinds keep
 the added kinds (iban, short_card, local_phone) keep those whose score reaches MIN_SCORE.
 
 Cases: a null or empty text has no spans (zero counts, digest and list of the empty string). Rows
-keep their number, repeated and null ids included; extra columns are ignored. Patterns use possessive
+keep their number, repeated and null ids included; extra columns keep their values, whatever their names. Patterns use possessive
 repeats, so very long texts and digit runs need no stack and no quadratic scan.
 """
 
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free, read
 
 # Base patterns as in the contract, with possessive repeats, and starts only where a leftmost match can start.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -119,12 +119,13 @@ def with_spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") ->
     none = "cast(array() as array<{}>)"
     has_digit = t.rlike("[0-9]")
     wanted = {k: t.contains(NEEDS[k]) if k in NEEDS else has_digit for k in KINDS}
-    found = docs.withColumn("_hits", F.struct(*(F.coalesce(F.when(wanted[k], F.regexp_extract_all(t, F.lit(p), F.lit(0))), F.expr(none.format("string"))).alias(k) for k, p in (BASE | ADDED).items())))
+    hits, placed_at = free(docs, "_hits"), free(docs, "_placed")
+    found = docs.withColumn(hits, F.struct(*(F.coalesce(F.when(wanted[k], F.regexp_extract_all(t, F.lit(p), F.lit(0))), F.expr(none.format("string"))).alias(k) for k, p in (BASE | ADDED).items())))
     placed = found.withColumn(
-        "_placed", F.struct(*(F.when(F.size(F.col("_hits")[k]) > 0, _placed(t, F.col("_hits")[k], k, p)).otherwise(F.expr(none.format("struct<s:int,e:int,m:string>"))).alias(k) for k, p in (BASE | ADDED).items()))
+        placed_at, F.struct(*(F.when(F.size(F.col(hits)[k]) > 0, _placed(t, F.col(hits)[k], k, p)).otherwise(F.expr(none.format("struct<s:int,e:int,m:string>"))).alias(k) for k, p in (BASE | ADDED).items()))
     )
-    scored = F.struct(*(F.when(F.size(F.col("_placed")[k]) > 0, _scored(t, F.col("_placed")[k], k)).otherwise(F.expr(none.format("struct<kind:string,s:int,e:int,score:double>"))).alias(k) for k in KINDS))
-    return placed.withColumn(into, scored).drop("_hits", "_placed")
+    scored = F.struct(*(F.when(F.size(F.col(placed_at)[k]) > 0, _scored(t, F.col(placed_at)[k], k)).otherwise(F.expr(none.format("struct<kind:string,s:int,e:int,score:double>"))).alias(k) for k in KINDS))
+    return placed.withColumn(into, scored).drop(hits, placed_at)
 
 
 def _listed(*spans: Column) -> Column:
@@ -147,7 +148,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; overlapping spans are one, of the kind that starts first."""
-    t, s = F.col(text), F.col("pii_spans")
+    into, cut_at = free(docs, "pii_spans"), free(docs, "_cut")
+    t, s = F.col(text), F.col(into)
     spans = F.array_sort(reduce(lambda a, b: F.concat(a, b), [F.transform(s[k], lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))) for k in KINDS]))
     empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int,kind:string>>)").alias("out"))
 
@@ -157,11 +159,11 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(x["s"] >= a["at"], kept).otherwise(F.struct(F.greatest(a["at"], e).alias("at"), a["out"].alias("out")))
 
     # each entry: the clear text from a to b, then a kind; an overlapped span's end is the next entry's a
-    marked = with_spans(docs, text).withColumn("_cut", F.when(F.size(spans) > 0, F.aggregate(spans, empty, merge)))
-    cut = F.col("_cut")
+    marked = with_spans(docs, text, into).withColumn(cut_at, F.when(F.size(spans) > 0, F.aggregate(spans, empty, merge)))
+    cut = F.col(cut_at)
     piece = lambda a, b: F.substring(t, a + 1, b - a)
-    rebuilt = F.concat(F.array_join(F.transform(cut["out"], lambda x: F.concat(piece(x["a"], x["b"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), ""), F.expr(f"substring({text}, _cut.at + 1)"))
-    return marked.withColumn(text, F.when(cut.isNotNull(), rebuilt).otherwise(t)).drop("_cut", "pii_spans")
+    rebuilt = F.concat(F.array_join(F.transform(cut["out"], lambda x: F.concat(piece(x["a"], x["b"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), ""), F.expr(f"substring(`{text}`, `{cut_at}`.at + 1)"))
+    return marked.withColumn(text, F.when(cut.isNotNull(), rebuilt).otherwise(t)).drop(cut_at, into)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

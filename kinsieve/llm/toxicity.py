@@ -48,7 +48,7 @@ SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€£¡(<.\-_*'·~^`].*[^\W\d_]|[0-9@$
 SPACED = re.compile(r"(?<!\w)[\w@$!|](?:[ .\-_*·~]+[\w@$!|](?!\w)){3,}(?!\w)")
 EDGE = re.compile(r"^[^\w@$!|+€£¡(<*]+|[^\w@$|+€£*]+$")
 DOUBLED = re.compile(r"([^\W\d_])\1+")
-LONGEST = 40  # longer tokens are no single words: they are split at their separators, and what is left by likely word boundaries
+LONGEST = 40  # longer stretches of letters are no single words: they are split by likely word boundaries
 PIECE, OVERLAP = 2000, 80  # letters decoded at once, and how many of them the next piece repeats; bounds the worker's memory
 SEPARATOR = re.compile(r"(?:[^\w@$!|+€£¡*]|_)+")
 ENDS = ".,;:?!\"'"  # may end a plain word
@@ -195,21 +195,18 @@ class Words:
         if not bare:
             return ()
         grams = {_hashed(run[i : i + k]) for run in UNSPACED.findall(bare) for k in (2, 3, 4, 5) for i in range(len(run) - k + 1)}
-        if len(bare) > LONGEST:
-            return tuple(self.parts(bare) | grams)
-        return tuple(self.short(token, bare) | grams)
-
-    def parts(self, bare: str) -> set[int]:
-        """Of a long token: itself, and all words between its separators or likely boundaries."""
-        found = set(self.features(bare))
-        for part in set(SEPARATOR.split(bare)):
-            if len(part) <= LONGEST:
-                inner = EDGE.sub("", part)
-                found |= self.short(part, inner) if inner else set()
-            elif any(c.isalpha() for c in part):
-                for word in self.decoder.words(part):
-                    found.update(self.features(word))
-        return found
+        # the token as one word, whatever stands between its letters, and each of its parts
+        found = self.short(token, bare) if len(bare) <= LONGEST else set(self.features(bare))
+        parts = set(SEPARATOR.split(bare))
+        return tuple(found.union(grams, *(self.part(p) for p in parts if p != bare or len(bare) > LONGEST)))
+
+    def part(self, part: str) -> set[int]:
+        """A stretch between separators; one too long for a word by its likely boundaries."""
+        if len(part) <= LONGEST:
+            inner = EDGE.sub("", part)
+            return self.short(part, inner) if inner else set()
+        words = self.decoder.words(part) if any(c.isalpha() for c in part) else ()
+        return {f for word in words for f in self.features(word)}
 
     def short(self, token: str, bare: str) -> set[int]:
         forms = {re.sub(r"[^\w]+", "", bare)}
@@ -233,8 +230,7 @@ class Words:
             yield self.cache[token] if token[-1] != "\0" else self.spaced(token[:-1])
 
     def spaced(self, joined: str) -> tuple[int, ...]:
-        whole = {joined, self.decoder.restore(joined)} if len(joined) <= LONGEST else {joined}
-        return tuple({f for word in whole | self.decoder.words(joined) for f in self.features(word)})
+        return tuple({f for word in {joined} | self.decoder.words(joined) for f in self.features(word)})
 
 
 @dataclass

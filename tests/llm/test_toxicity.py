@@ -69,6 +69,48 @@ def test_no_part_of_a_text_is_cut_off(model):
     assert {tx._hashed(unspaced[i : i + k]) for k in (2, 3) for i in (0, 45, 57)} <= set(tx.Words(model.decoder).one(unspaced))
 
 
+def test_separators_count_whatever_the_length(model):
+    score = model.scorer()
+    clean = "bander toring milate seron golish"
+    for token in ("you/stupid", "you-stupid-now", "so(stupid)", "yes,stupid", "you/1d10t", "a_moron_b", "x/" * 30 + "stupid"):
+        assert score(f"{clean} {token}") >= tx.THRESHOLD, token
+    for token in ("toring/milate", "ban-tor", "so(seron)", "yes,golish", "s/t/u", "milate." * 9):
+        assert score(f"{clean} {token}") < tx.THRESHOLD, token
+
+
+def test_decoder_against_all_readings(model):
+    """The Viterbi path is the best of all readings, each scored by itself."""
+    d = model.decoder
+
+    def best(token):
+        readings = [("", 0.0)]
+        for choices in d.choices(token):
+            readings = [(text + letters, cost + c) for text, cost in readings for letters, c in choices]
+
+        def value(text, cost):
+            codes = [0, 0, *(d.code.get(x, tx.SIZE - 1) for x in text), 0]
+            return sum(d.logs[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:])) - cost
+
+        return max(value(*r) for r in readings), value, dict(sorted(((t, c) for t, c in readings), key=lambda r: -r[1]))
+
+    for token in ("1d10t", "m00r0n", "s.c.u.m", "$tuu*p1d", "zz6|", "w0rth", "é1ß", "a", "--"):
+        top, value, costs = best(token)
+        word = d.restore(token)
+        assert abs(value(word, costs[word]) - top) < 1e-9, token
+
+
+def test_query(spark):
+    """The query's columns, its fold and threshold over the whole table."""
+    from zlib import crc32
+
+    from kinsieve.llm.registry import QUERIES
+
+    rows = QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+
+
 def test_held_out_accuracy(data, model):
     docs, _, labels = data
     rows = tx.scored(docs.where(tx.fold("doc_id", 4) == 2), model).collect()
