@@ -11,20 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsieve.llm import bpe, decontaminate, jaccard, pii, toxicity
-from kinsieve.llm.common import read, written
-
-
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    while name.lower() in (c.lower() for c in docs.columns):
-        name += "_"
-    return name
+from kinsieve.llm.common import free, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    own = _free(docs, "_toxicity")
+    own = free(docs, "_toxicity")
     return toxicity.scored(docs, model, into=own).where(F.col(own) < toxicity.THRESHOLD).drop(own)
 
 
@@ -32,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least id of each component. Equal rows are one; rows of one id stay or go together; rows without id stay."""
     linked = jaccard.components(docs.select("doc_id", "text"))
     stay = linked.where("doc_id = component_id").select("doc_id").distinct()
-    own = _free(docs, "_h")
+    own = free(docs, "_h")
     keyed = docs.withColumn(own, F.xxhash64("text"))
     return keyed.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", own]).unionByName(keyed.where("doc_id is null")).drop(own).select(*docs.columns)
 
