@@ -52,5 +52,26 @@ def test_stages(spark, folder):
     assert out == want and len(out) == len(ids[3])
 
 
+CLASHING = ["_h", "_hits", "_placed", "_cut", "pii_spans", "_toxicity", "score", "h", "token", "file_id"]
+
+
+def test_stages_with_clashing_columns_and_odd_tables(spark, folder, tmp_path):
+    """Columns of the stages' own names stay; an empty table, a very long text and labels of one kind pass."""
+    rows = [(1, "mail a.b@c.org now", "en", "s", 1), (2, "word " * 50_000, "en", "s", 2), (3, None, None, None, None), (3, None, None, None, None), (4, "mail a.b@c.org now", "en", "s", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some passage of a benchmark that is in none of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema).withColumns({c: cp.F.concat(cp.F.lit(c), "doc_id") for c in CLASHING})
+    for _, stage in cp.STAGES[:-1]:
+        docs = cp.written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == COLUMNS + CLASHING
+    got = sorted(docs.collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [1, 2, 3] and got[0].text == "mail [EMAIL] now" and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHING)
+    empty = spark.createDataFrame([], schema)
+    for _, stage in cp.STAGES:
+        empty = cp.written(stage(spark, empty, str(tmp_path)))
+    assert empty.count() == 0
+
+
 def test_contract():
     assert [n for n, _ in cp.STAGES] and 4 <= len(cp.STAGES) <= 5 and cp.ORACLE_SQL is None
