@@ -10,7 +10,7 @@ CONTENT = r"(?i)/workshop/content/[0-9]+/([0-9]+)/"
 LOCAL_NAME = r"(?i)/projects/myprojects/([^/]+)/"
 LOCAL_ID = r"/projects/(?:myprojects|backup)/([0-9]+)/"
 LOCAL_ROOT = r"(?i)^(.*?/myprojects/[^/]+)"
-VIDEO = ("mp4", "mkv", "avi", "mov", "webm", "flv", "wmv", "m4v")
+VIDEO = ("mp4", "mkv", "webm", "avi", "mov", "m4v", "mpg", "mpeg")
 GONE = (
     "未找到", "不存在", "已被删除", "已被移除", "无法使用", "无效的物品", "您请求的项目", "处理您的请求时遇到错误", "查看物品时出现错误", "请稍后再试",
     "not found", "no longer available", "has been removed", "was removed", "invalid item",

@@ -6,7 +6,6 @@ import __spark_entry__
 import duckdb
 import pytest
 
-from kinsieve.llm import language
 from kinsieve.operators import catalog, groups
 from kinsieve.plans import media, records
 
@@ -69,8 +68,3 @@ def test_job_identity_collects_ids_once(spark):
 
 def test_oracles_are_sql():
     assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
-
-
-def test_every_language_is_learned(spark):
-    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 103 // 26)}{chr(97 + i % 103 % 26)}", f"l{i % 103}") for i in range(824)], "doc_id long, text string, lang string")
-    assert sorted(language.train(docs).languages) == sorted(f"l{i}" for i in range(103))
