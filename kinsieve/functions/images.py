@@ -51,7 +51,7 @@ def visual_features(frames: pd.Series, heights: pd.Series, widths: pd.Series) ->
     """Hashes and mean histogram of a file's frames (array of binary, 3 bytes a pixel); bad frames are skipped."""
     hashes, histograms = [], []
     for own, h, w in zip(frames, heights, widths, strict=True):
-        good = [np.frombuffer(f, np.uint8).reshape(h, w, 3) for f in (own if own is not None else []) if f is not None and h and w and len(f) == h * w * 3]
+        good = [np.frombuffer(f, np.uint8).reshape(int(h), int(w), 3) for f in (own if own is not None else []) if f is not None and h and w and len(f) == h * w * 3]
         hashes.append([phash(f) for f in good])
         total = np.mean([hsv_histogram(f) for f in good], axis=0) if good else None
         histograms.append(None if total is None else (total / total.sum()).tolist())
