@@ -1,4 +1,4 @@
-"""Structured Streaming forms: the task queue, candidate buckets, and catalogue deltas."""
+"""Structured Streaming forms: the task queue by item, and catalogue deltas. Queues by job and candidate buckets are in `stateful`."""
 
 from __future__ import annotations
 
@@ -29,24 +29,6 @@ def queue_stream(events: DataFrame, lease: float = LEASE) -> DataFrame:
     return events.groupBy("job", "item_id").applyInPandasWithState(fold, f"job string, item_id {kind}, {QUEUE_STATE}", QUEUE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def candidate_stream(files: DataFrame) -> DataFrame:
-    """Files (bucket, file_id, item_id) as soon as their bucket has two files and two items; each file once."""
-    def emit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, items = (list(state.get[0]), set(state.get[1])) if state.exists else ([], set())
-        opened = state.exists and state.get[2]
-        for frame in frames:
-            waiting += [f"{f}\t{i}" for f, i in zip(frame.file_id, frame.item_id, strict=True)]
-            items |= set(frame.item_id.astype(str)) if not opened else set()
-        opened = opened or len(waiting) >= 2 and len(items) >= 2
-        state.update(([] if opened else waiting, sorted(items)[:2], opened))  # two items are enough to know
-        if opened:
-            yield pd.DataFrame([[key[0], *w.split("\t")] for w in waiting], columns=["bucket", "file_id", "item_id"])
-
-    return files.select("bucket", F.col("file_id").cast("string"), F.col("item_id").cast("string")).groupBy("bucket").applyInPandasWithState(
-        emit, "bucket string, file_id string, item_id string", "waiting array<string>, items array<string>, opened boolean", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def delta_batches(current: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands the sink only updates that say something new."""
     def run(updates: DataFrame, batch: int) -> None:
