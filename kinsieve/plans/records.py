@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import blocking, catalog, queue, store
+from ..operators import blocking, catalog, features, queue, store
+from ..operators.scratch import shared_folder
 
 
 def _t(spark, sf_dir, name):
@@ -48,6 +51,22 @@ def cache_join(spark, sf_dir):
     return store.looked_up(files, features, "feature").select("event_id", "feature", F.col("feature").isNull().alias("to_compute"))
 
 
+def feature_merge(spark, sf_dir):
+    """Customers as files: durations from finished orders, hashes from open ones, made anew with other settings for every third, then mirrored for every tenth."""
+    kinds = {"duration": features.KINDS["duration"], "visual": "part string, visual_hash string"}
+    table = features.FeatureTable(spark, f"{shared_folder(spark)}/features-{uuid.uuid4().hex}", kinds, 16)
+    k, o = F.col("o_custkey"), _t(spark, sf_dir, "orders")
+    about = [F.concat(F.lit("w/"), k.cast("string")).alias("path"), (k % 7).alias("size"), F.lit(0).cast("long").alias("mtime"), k.cast("string").alias("item_id"), F.lit(None).cast("string").alias("url"), F.col("o_orderkey").alias("updated")]
+    table.merge("duration", o.where("o_orderstatus = 'F'").select(*about, F.col("o_totalprice").cast("double").alias("duration")))
+    hashed = lambda status, setting: o.where(F.col("o_orderstatus") == status).select(*about, F.col("o_orderpriority").alias("part"), F.lit(setting).alias("visual_hash"))
+    table.merge("visual", hashed("O", "v1"))
+    table.merge("visual", hashed("O", "v2").where("cast(item_id as long) % 3 = 0"))
+    twins = table.rows().where("cast(item_id as long) % 10 = 0").select(F.col("path").alias("source"), F.concat(F.lit("m/"), F.col("item_id")).alias("path"), "size", "mtime", F.concat(F.lit("mp:"), F.col("item_id")).alias("item_id"), "url", F.lit(-1).cast("long").alias("updated"))
+    table.mirror(twins)
+    known = table.looked_up(table.rows().select("path", "size", "item_id", "updated", F.col("duration").alias("secs")), "visual", "v2")
+    return known.select("path", "item_id", "updated", "secs", F.col("part"), "known")
+
+
 def upsert_latest(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     return store.upserted(e.where("value < 50"), e.where("value >= 50"), ["user_id", "event_type"], "event_id")
@@ -184,7 +203,7 @@ def request_batches(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
+    mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, feature_merge, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
     delta_filter, overlay_priority, queue_fold, queue_stats, lease_batch, lease_expiry, backoff, scheduler_pick, page_state, id_extraction, job_identity, request_batches,
 )}
 
@@ -200,6 +219,10 @@ select page_id, trim(regexp_extract(url, '^[^?#]*\\?(?:[^#]*?&)?id=([^&#]*)', 1)
 select c_custkey, case when c_custkey % 4 in (0, 2) then cast(c_custkey as varchar) end item_id, case when c_custkey % 4 = 1 then cast(c_custkey as varchar) end local_name, case when c_custkey % 4 in (1, 3) then cast(c_custkey as varchar) end archive_id, lower(replace(path, '\\', '/')) path_key, case when c_custkey % 4 = 1 then 'file://' || path else 'https://items.example/?id=' || c_custkey end url from c""",
     "twin_fallback": "select a.event_id, coalesce(case when a.event_id % 2 = 0 then a.value end, b.value) feature, a.event_id % 2 = 1 and b.value is not null mirrored from events a left join events b on a.event_id % 2 = 1 and b.event_id = a.event_id - 1 and b.user_id = a.user_id",
     "cache_join": "select event_id, case when event_id % 5 = event_id % 3 and event_type <> 'view' then value end feature, not (event_id % 5 = event_id % 3 and event_type <> 'view') to_compute from events",
+    "feature_merge": """with d as (select o_custkey k, arg_max(o_totalprice, o_orderkey) secs, max(o_orderkey) u from orders where o_orderstatus = 'F' group by 1),
+v as (select o_custkey k, arg_max(o_orderpriority, o_orderkey) part, max(o_orderkey) u from orders where o_orderstatus = 'O' group by 1),
+b as (select k, coalesce(v.u, d.u) updated, cast(secs as double) secs, case when k % 3 = 0 then part end part, k % 3 = 0 and v.u is not null known from d full join v using (k))
+select 'w/' || k path, cast(k as varchar) item_id, updated, secs, part, known from b union all select 'm/' || k, 'mp:' || k, -1, secs, part, known from b where k % 10 = 0""",
     "upsert_latest": "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1",
     "classify_items": """with r as (select o_custkey item_id, o_orderkey k, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1),
 x as (select c_custkey item_id, k, case when k % 11 = 0 then 9 when k % 13 = 0 then 15 when k % 17 = 0 then 0 else 1 end res, k % 7 = 0 or k % 19 = 0 ban, case when k % 5 = 0 then (k // 5) % 4 - 1 else 0 end vis, case when k % 3 = 0 then '' else o_orderstatus end title from customer left join r on c_custkey = item_id),
