@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocking import BLOCK_ROWS, met
 from .scratch import dropped, written
 
 MAX_ROUNDS = 60
@@ -19,21 +20,26 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges (u, v) with m, the least neighbour of u; the edges of a hub in blocks of `rows`."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > rows).select("u", F.ceil(F.col("n") / rows).cast("int").alias("_left"), F.lit(1).alias("_right"))
+    return met(edges, least.select("u", "m"), ["u"], "v", "m", rows, hubs)
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every neighbour above u is tied to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """u and its neighbours below it are tied to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    tied = _with_least(edges, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int = BLOCK_ROWS) -> DataFrame:
     """(node, component) of every node that has an edge; component is the least node reachable.
 
     Self edges make a component of one, repeated edges and null ends do nothing.
@@ -45,7 +51,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        after = written(_small_star(_large_star(stars)))
+        after = written(_small_star(_large_star(stars, rows), rows))
         if hasattr(stars, "scratch_path"):
             dropped(stars)
         stars, before, state = after, state, _state(after)

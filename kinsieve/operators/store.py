@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def upserted(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The latest row of each key; changes win over rows of the same version."""
@@ -55,18 +59,36 @@ def pruned(features: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def leaves(records: DataFrame, key: str, props: str) -> DataFrame:
-    """(key, path, value): the supplied fields of JSON objects, one level of nesting deep or two."""
-    top = records.select(key, F.explode(F.from_json(props, "map<string,string>")).alias("path", "value"))
-    deep = top.where(F.col("value").startswith("{")).select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("sub", "value")).select(key, F.concat_ws(".", "path", "sub").alias("path"), "value")
-    return top.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False))).unionByName(deep)
+    """(key, path, value): every node of JSON texts of any depth, objects and arrays by their kind, scalars by kind and value; texts that are no JSON have none.
+
+    Level by level, each written once; only whether there is a next one is asked by the driver. Numbers are equal as doubles.
+    """
+    json = records.select(F.col(key).alias("_id"), F.lit("").alias("path"), F.try_parse_json(props).alias("v")).where("v is not null")
+    levels = []
+    while True:
+        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        level = written(json.withColumn("kind", kind))
+        text = F.try_variant_get("v", "$", "string")
+        number = F.concat(F.lit("n:"), F.try_variant_get("v", "$", "double").cast("string"))
+        value = F.when(F.col("kind").isin("OBJECT", "ARRAY", "VOID"), F.col("kind")).when(F.col("kind").isin("STRING", "BOOLEAN"), F.concat(F.substring("kind", 1, 1), F.lit(":"), text)).otherwise(number)
+        levels.append(level.select(F.col("_id").alias(key), "path", value.alias("value")))
+        inner = level.where("kind in ('OBJECT', 'ARRAY')")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        # a name tells its length, so that no other name and no place reads like it
+        step = F.when(F.col("kind") == "OBJECT", F.concat(F.lit("."), F.length("key").cast("string"), F.lit(":"), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string")))
+        parts = records.sparkSession.tvf.variant_explode(F.col("v").outer())
+        json = inner.lateralJoin(parts.select("pos", "key", F.col("value").alias("part"))).select("_id", F.concat("path", step).alias("path"), F.col("part").alias("v"))
 
 
 def changed_updates(updates: DataFrame, current: DataFrame, key: str = "id", props: str = "props", least: int = 50) -> DataFrame:
     """updates with keep: false only where a queued update of one record says nothing new.
 
     updates: update_id, key, props, status, local, ispreset; current: key, props and maybe ispreset. Of several
-    records of a key each must hold what the update says, and none may be a preset. Batches under `least` rows pass whole.
+    records of a key each must hold what the update says, at every depth, arrays place by place, and none may be a
+    preset. Batches under `least` rows pass whole.
     """
+    updates = written(updates)  # read more than once, planned once
     large = updates.count() >= least
     twice = updates.groupBy(key).agg((F.count("*") > 1).alias("_twice"))
     news = leaves(updates.select(F.struct("update_id", key).alias("u"), props), "u", props).select("u.update_id", F.col(f"u.{key}").alias(key), "path", "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -124,6 +125,17 @@ def delta_filter(spark, sf_dir):
     return store.changed_updates(updates, last.select(F.col("user_id").alias("id"), "props")).select("update_id", "id", "keep")
 
 
+def delta_containment(spark, sf_dir):
+    """Customers' records five levels deep against updates that repeat, shorten or change them."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    record = text('{"a":{"b":[{"c":{"d":[', k % 3, ",", k % 5, ']}},"x"],"n":null},"e":', k, '.0,"f":{}}')
+    update = text('{"a":{"b":[{"c":{"d":[', k % 3, F.when(k % 2 == 0, text(",", k % 7)).otherwise(""), F.when(k % 13 == 0, ',"y"').otherwise(""), "]}}]", F.when(k % 4 == 0, ',"n":null').otherwise(""), '},"e":', k + (k % 11 == 0).cast("int"), F.when(k % 17 == 0, ',"f":[]').otherwise(""), "}")
+    c = _t(spark, sf_dir, "customer")
+    updates = c.select(k.alias("update_id"), k.alias("id"), update.alias("props"), F.lit("pending").alias("status"), F.lit(False).alias("local"), F.lit(False).alias("ispreset"))
+    return store.changed_updates(updates, c.select(k.alias("id"), record.alias("props"))).select("update_id", "keep")
+
+
 def overlay_priority(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -204,7 +216,7 @@ def request_batches(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, feature_merge, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
-    delta_filter, overlay_priority, queue_fold, queue_stats, lease_batch, lease_expiry, backoff, scheduler_pick, page_state, id_extraction, job_identity, request_batches,
+    delta_filter, delta_containment, overlay_priority, queue_fold, queue_stats, lease_batch, lease_expiry, backoff, scheduler_pick, page_state, id_extraction, job_identity, request_batches,
 )}
 
 _GONE = " or ".join(f"contains(low, '{p}')" for p in T.GONE)
@@ -219,6 +231,13 @@ select page_id, trim(regexp_extract(url, '^[^?#]*\\?(?:[^#]*?&)?id=([^&#]*)', 1)
 select c_custkey, case when c_custkey % 4 in (0, 2) then cast(c_custkey as varchar) end item_id, case when c_custkey % 4 = 1 then cast(c_custkey as varchar) end local_name, case when c_custkey % 4 in (1, 3) then cast(c_custkey as varchar) end archive_id, lower(replace(path, '\\', '/')) path_key, case when c_custkey % 4 = 1 then 'file://' || path else 'https://items.example/?id=' || c_custkey end url from c""",
     "twin_fallback": "select a.event_id, coalesce(case when a.event_id % 2 = 0 then a.value end, b.value) feature, a.event_id % 2 = 1 and b.value is not null mirrored from events a left join events b on a.event_id % 2 = 1 and b.event_id = a.event_id - 1 and b.user_id = a.user_id",
     "cache_join": "select event_id, case when event_id % 5 = event_id % 3 and event_type <> 'view' then value end feature, not (event_id % 5 = event_id % 3 and event_type <> 'view') to_compute from events",
+    "delta_containment": """with c as (select c_custkey k from customer),
+t as (select k, '{"a":{"b":[{"c":{"d":[' || k % 3 || ',' || k % 5 || ']}},"x"],"n":null},"e":' || k || '.0,"f":{}}' record,
+  '{"a":{"b":[{"c":{"d":[' || k % 3 || case when k % 2 = 0 then ',' || k % 7 else '' end || case when k % 13 = 0 then ',"y"' else '' end || ']}}]' || case when k % 4 = 0 then ',"n":null' else '' end || '},"e":' || k + case when k % 11 = 0 then 1 else 0 end || case when k % 17 = 0 then ',"f":[]' else '' end || '}' upd from c),
+r as (select k, fullkey, case when type in ('OBJECT', 'ARRAY', 'NULL') then type when type in ('VARCHAR', 'BOOLEAN') then type || atom else 'n' || cast(atom as double) end value from t, json_tree(t.record)),
+u as (select k, fullkey, case when type in ('OBJECT', 'ARRAY', 'NULL') then type when type in ('VARCHAR', 'BOOLEAN') then type || atom else 'n' || cast(atom as double) end value from t, json_tree(t.upd)),
+n as (select distinct k from (select k, fullkey, value from u except select k, fullkey, value from r))
+select k update_id, k in (select k from n) keep from c""",
     "feature_merge": """with d as (select o_custkey k, arg_max(o_totalprice, o_orderkey) secs, max(o_orderkey) u from orders where o_orderstatus = 'F' group by 1),
 v as (select o_custkey k, arg_max(o_orderpriority, o_orderkey) part, max(o_orderkey) u from orders where o_orderstatus = 'O' group by 1),
 b as (select k, coalesce(v.u, d.u) updated, cast(secs as double) secs, case when k % 3 = 0 then part end part, k % 3 = 0 and v.u is not null known from d full join v using (k))

@@ -1,12 +1,14 @@
 """Rules around an archive on small rows; every rule query against its DuckDB twin."""
 
 import hashlib
+import json
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kinsieve.operators import archive, blocking
+from kinsieve.operators import archive, blocking, store
 from kinsieve.options import Options, feature_hash
 from kinsieve.plans import rules
 
@@ -61,3 +63,34 @@ def test_feature_hashes():
     assert feature_hash("semantic", o, **model) == feature_hash("semantic", o, grid=8, **model)
     with pytest.raises(AttributeError):
         feature_hash("audio", o)
+
+
+def contained(record, update):
+    if isinstance(update, dict) and isinstance(record, dict):
+        return all(k in record and contained(record[k], v) for k, v in update.items())
+    if isinstance(update, list) and isinstance(record, list):
+        return len(update) <= len(record) and all(map(contained, record, update))
+    return type(record) in (int, float) and type(update) in (int, float) and record == update or type(record) is type(update) and not isinstance(record, dict | list) and record == update
+
+
+def test_containment_at_any_depth(spark):
+    rng = random.Random(6)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind < 5:
+            return rng.choice([None, True, 0, 1, 1.0, "1", "x", "{\"a\":1}", {}, []])
+        return [value(depth - 1) for _ in range(rng.randrange(3))] if kind == 5 else {rng.choice(["a", "b", "a.b", "1:a", "é"]): value(depth - 1) for _ in range(rng.randrange(3))}
+
+    def thinner(x):
+        if isinstance(x, dict):
+            return {k: thinner(v) for k, v in x.items() if rng.random() < 0.8}
+        return [thinner(v) for v in x][: rng.randrange(len(x) + 1)] if isinstance(x, list) else x if rng.random() < 0.95 else "other"
+
+    records = [{"r": value(6), "s": {"t": [{"u": {"v": [value(2), 7]}}]}} for _ in range(150)]
+    updates = [thinner(x) if rng.random() < 0.8 else value(5) for x in records]
+    assert 20 < sum(map(contained, records, updates)) < 130
+    df = spark.createDataFrame([(i, i, json.dumps(u), "pending", False, False) for i, u in enumerate(updates)], "update_id long, id long, props string, status string, local boolean, ispreset boolean")
+    current = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, props string")
+    got = {r.update_id: r.keep for r in store.changed_updates(df, current).collect()}
+    assert got == {i: not contained(r, u) for i, (r, u) in enumerate(zip(records, updates, strict=True))}
