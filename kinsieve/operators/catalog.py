@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,11 +43,12 @@ def require_complete(batches: DataFrame) -> DataFrame:
 
 def flattened(spark, tree: DataFrame, column: str = "tree", depth: int = 32) -> DataFrame:
     """(path, title, items) of every folder of JSON trees [{title, items: {key: n}, subfolders: [...]}], by a recursive query; fails if folders lie below the depth."""
-    tree.select(F.parse_json(column).alias("tree")).createOrReplaceTempView("_folder_trees")
+    view = f"_folder_trees_{uuid.uuid4().hex}"  # two calls at once don't meet
+    tree.select(F.parse_json(column).alias("tree")).createOrReplaceTempView(view)
     return spark.sql(
         f"""
         with recursive f(path, title, node, level) as (
-          select variant_get(value, '$.title', 'string'), variant_get(value, '$.title', 'string'), value, 1 from _folder_trees, lateral variant_explode(tree)
+          select variant_get(value, '$.title', 'string'), variant_get(value, '$.title', 'string'), value, 1 from {view}, lateral variant_explode(tree)
           union all
           select f.path || '/' || variant_get(s.value, '$.title', 'string'), variant_get(s.value, '$.title', 'string'), s.value, f.level + 1
           from f, lateral variant_explode_outer(variant_get(f.node, '$.subfolders', 'variant')) s where s.value is not null and f.level < {depth})
@@ -56,6 +58,22 @@ def flattened(spark, tree: DataFrame, column: str = "tree", depth: int = 32) ->
     )
 
 
+def profile_folders(configs: DataFrame, column: str = "config") -> DataFrame:
+    """configs with folders: of the first profile, in the order of names, that has a list of folders, that list as JSON; null if none has.
+
+    A profile is any object of the configuration; its browser's list goes before its general one.
+    """
+    parts = configs.sparkSession.tvf.variant_explode(F.col("_config").outer()).select("key", F.col("value").alias("_profile"))
+    named = configs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_config", F.try_parse_json(column))
+    named = written(named.select(*configs.columns, "_row", F.to_json("_config").alias("_text")))
+    profiles = named.where("_text like '{%'").select("_row", F.parse_json("_text").alias("_config")).lateralJoin(parts).where("_profile is not null")
+    # a list only counts as such
+    found = lambda path: F.when(F.schema_of_variant(F.try_variant_get("_profile", path, "variant")).startswith("ARRAY"), F.to_json(F.try_variant_get("_profile", path, "variant")))
+    lists = profiles.select("_row", "key", F.coalesce(found("$.general.browser.folders"), found("$.general.folders")).alias("folders")).where("folders is not null")
+    first = lists.groupBy("_row").agg(F.min_by("folders", "key").alias("folders"))
+    return named.join(first, "_row", "left").select(*configs.columns, "folders")
+
+
 def folder_paths(folders: DataFrame, depth: int = 1000) -> DataFrame:
     """(folder_id, path) of folders(folder_id, parent_id, title) as rows, level by level until none is left; fails beyond the depth, so on cycles below a root."""
     level = written(folders.where("parent_id is null").select("folder_id", F.col("title").alias("path")))
