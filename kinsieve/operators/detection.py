@@ -38,6 +38,10 @@ def judged(files: DataFrame, pairs: DataFrame, o: Options, grid: int) -> DataFra
     near = verdict.frame_stats(near, "a_frames", "b_frames", o)
     near = verdict.patch_stats(near, "a_patches", "b_patches", grid, o)
     near = verdict.center_stats(near, "a_patches", "b_patches", grid, o.center_inner).drop(*(f"{x}_{c}" for x in "ab" for c in SIGNS))
+    if not o.frame_gates:
+        near = near.withColumns({c: F.lit(None).cast("double") for c in ("mean", "max", "p90")})
+    if not o.patch_gates:
+        near = near.withColumn("kind", F.lit(None).cast("string"))
     return verdict.cascade(near.unionByName(far, allowMissingColumns=True), o)
 
 

@@ -91,7 +91,9 @@ def cascade(metrics: DataFrame, o: Options) -> DataFrame:
         & (c["c_mean"] <= o.relaxed_mean) & (c["c_p90"] <= o.relaxed_p90) & (c["c_max"] <= o.relaxed_max)
     )
     if not o.center_mask:
-        strict = relaxed = F.lit(False)
+        strict = F.lit(False)
+    if not o.center_mask or not o.center_mask_relaxed:
+        relaxed = F.lit(False)
     drift = (c["p90"] <= o.t_p90) | ((c["max"] > o.t_max) & (c["mid"] <= o.sparse_mid_count) & (c["above"] <= o.sparse_mid_count) & (c["mean"] <= o.t_mean))
     rescued = F.lit(o.audio_merge_override_color) & yes(c["audio_dist"] <= o.audio_merge_threshold)
     wide = c["max"] <= o.t_max * o.anim_max_override_factor

@@ -11,6 +11,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import blocking, catalog, features, queue, store
 from ..operators.scratch import shared_folder
+from ..streaming import delta
 
 
 def _t(spark, sf_dir, name):
@@ -52,6 +53,31 @@ def cache_join(spark, sf_dir):
     return store.looked_up(files, features, "feature").select("event_id", "feature", F.col("feature").isNull().alias("to_compute"))
 
 
+def delta_index(spark, sf_dir):
+    """Events as updates of local videos, a batch for each remainder of the user, the second handed on twice, then compacted; and what its index holds."""
+    e, item = _t(spark, sf_dir, "events"), (F.col("event_id") * 7 % 997).cast("string")
+    place = F.when(F.col("event_id") % 3 == 0, "backup").otherwise("myprojects")
+    status = F.when(F.col("event_type") == "error", "unsubscribed").when(F.col("event_type") == "signup", "pending").otherwise("installed")
+    file = F.concat(F.lit("D:\\Projects\\"), place, F.lit("\\"), item, F.lit("\\V.mp4"))
+    updates = e.select("user_id", F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("workshopid"), F.lit(True).alias("local"), F.lit(None).cast("string").alias("project"), file.alias("file"), status.alias("status"), F.lit("Video").alias("type"))
+    index = delta.DeltaIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    for batch in (0, 1, 1, 2):
+        index.apply(delta.archive_changes(updates.where(F.col("user_id") % 3 == batch)), batch)
+    index.compact()
+    return index.entries().join(index.best().select("item_id", F.col("file").alias("best")), "item_id").select("item_id", "key", "file", "best")
+
+
+def profile_search(spark, sf_dir):
+    """Customers as configurations of two profiles, whose lists of folders lie in one of two places or are none."""
+    k = F.col("c_custkey")
+    part = lambda name, folders: F.concat(F.lit(f'"{name}":'), folders)
+    titles = F.concat(F.lit('[{"title":"f'), k.cast("string"), F.lit('"}]'))
+    browser = F.concat(F.lit("{"), part("browser", F.concat(F.lit("{"), part("folders", F.when(k % 3 == 0, titles).otherwise(F.lit("{}"))), F.lit("}"))), F.lit(","), part("folders", F.when(k % 5 == 0, F.lit("[]")).otherwise(F.lit("null"))), F.lit("}"))
+    general = F.concat(F.lit("{"), part("folders", F.when(k % 7 == 0, F.lit("7")).otherwise(titles)), F.lit("}"))
+    config = F.concat(F.lit('{"version":3,"p":{"general":'), browser, F.lit('},"q":{"general":'), general, F.lit("}}"))
+    return catalog.profile_folders(_t(spark, sf_dir, "customer").select(k.alias("id"), config.alias("config"))).select("id", "folders")
+
+
 def feature_merge(spark, sf_dir):
     """Customers as files: durations from finished orders, hashes from open ones, made anew with other settings for every third, then mirrored for every tenth."""
     kinds = {"duration": features.KINDS["duration"], "visual": "part string, visual_hash string"}
@@ -215,7 +241,7 @@ def request_batches(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, feature_merge, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
+    mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, feature_merge, delta_index, profile_search, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
     delta_filter, delta_containment, overlay_priority, queue_fold, queue_stats, lease_batch, lease_expiry, backoff, scheduler_pick, page_state, id_extraction, job_identity, request_batches,
 )}
 
@@ -231,6 +257,12 @@ select page_id, trim(regexp_extract(url, '^[^?#]*\\?(?:[^#]*?&)?id=([^&#]*)', 1)
 select c_custkey, case when c_custkey % 4 in (0, 2) then cast(c_custkey as varchar) end item_id, case when c_custkey % 4 = 1 then cast(c_custkey as varchar) end local_name, case when c_custkey % 4 in (1, 3) then cast(c_custkey as varchar) end archive_id, lower(replace(path, '\\', '/')) path_key, case when c_custkey % 4 = 1 then 'file://' || path else 'https://items.example/?id=' || c_custkey end url from c""",
     "twin_fallback": "select a.event_id, coalesce(case when a.event_id % 2 = 0 then a.value end, b.value) feature, a.event_id % 2 = 1 and b.value is not null mirrored from events a left join events b on a.event_id % 2 = 1 and b.event_id = a.event_id - 1 and b.user_id = a.user_id",
     "cache_join": "select event_id, case when event_id % 5 = event_id % 3 and event_type <> 'view' then value end feature, not (event_id % 5 = event_id % 3 and event_type <> 'view') to_compute from events",
+    "delta_index": r"""with u as (select event_id seq, user_id % 3 b, cast(event_id * 7 % 997 as varchar) item_id, case when event_id % 3 = 0 then 'backup' else 'myprojects' end place, event_type from events where event_type <> 'signup'),
+n as (select *, 'D:\Projects\' || place || '\' || item_id || '\V.mp4' file from u),
+l as (select * from n qualify row_number() over (partition by item_id, place order by b desc, seq desc) = 1),
+h as (select item_id, lower(replace(file, '\', '/')) key, file from l where event_type <> 'error')
+select h.item_id, key, file, (select min_by(x.file, (case when contains(x.key, '/projects/myprojects/') then 0 else 1 end) || x.key) from h x where x.item_id = h.item_id) best from h""",
+    "profile_search": """select c_custkey id, case when c_custkey % 3 = 0 then '[{"title":"f' || c_custkey || '"}]' when c_custkey % 5 = 0 then '[]' when c_custkey % 7 = 0 then null else '[{"title":"f' || c_custkey || '"}]' end folders from customer""",
     "delta_containment": """with c as (select c_custkey k from customer),
 t as (select k, '{"a":{"b":[{"c":{"d":[' || k % 3 || ',' || k % 5 || ']}},"x"],"n":null},"e":' || k || '.0,"f":{}}' record,
   '{"a":{"b":[{"c":{"d":[' || k % 3 || case when k % 2 = 0 then ',' || k % 7 else '' end || case when k % 13 = 0 then ',"y"' else '' end || ']}}]' || case when k % 4 = 0 then ',"n":null' else '' end || '},"e":' || k + case when k % 11 = 0 then 1 else 0 end || case when k % 17 = 0 then ',"f":[]' else '' end || '}' upd from c),

@@ -150,6 +150,11 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_bytes(b"1234")
     found = {(r.item_id, r.size) for r in files.videos(spark, f"{tmp_path}/content", f"{tmp_path}/local").collect()}
     assert found == {("12", 4), ("mp:my", 4)}
+    for suffix in ("mp4", "mkv", "webm", "avi", "mov", "m4v", "mpg", "MPEG", "flv", "wmv", "gif"):
+        (tmp_path / f"content/12/deep.er/v.{suffix}").parent.mkdir(exist_ok=True)
+        (tmp_path / f"content/12/deep.er/v.{suffix}").write_bytes(b"12")
+    deep = {r.path.rsplit(".", 1)[1] for r in files.videos(spark, f"{tmp_path}/content").where("size = 2").collect()}
+    assert deep == {"mp4", "mkv", "webm", "avi", "mov", "m4v", "mpg", "MPEG"}
     (tmp_path / "s.csv").write_text("n,link1,link2\n1,http://k,http://t\n2,http://k,\n")
     assert [r.url for r in files.sheet(spark, f"{tmp_path}/s.csv").collect()] == ["http://t"]
     (tmp_path / "ids.json").write_text('{"wids": ["1", "2"]}')

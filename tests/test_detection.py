@@ -1,11 +1,11 @@
 """The whole detection on hand-made files: each option by a case that it decides."""
 
-from dataclasses import replace
+from dataclasses import fields, replace
 
 import pytest
 
 from kinsieve.operators import blocking, detection
-from kinsieve.options import Options
+from kinsieve.options import NAMES, Options, read_settings
 
 BASE = Options(sample_frames=6, phash_distance_threshold=8.0, center_inner=2, audio_min_length=1)
 SCHEMA = (
@@ -84,6 +84,25 @@ def test_centre_cells_confirm(spark):
     assert found(spark, rows, replace(o, t_max=1e-6, center_inner=4)) == []
 
 
+def test_frame_gates_off(spark):
+    rows = [file(1, 1, 30.0), file(2, 2, 30.0, frames=[[0.0, 1.0]] * 6)]
+    assert found(spark, rows) == [] and found(spark, rows, replace(BASE, frame_gates=False)) == [[(2, 2), (1, 1)]]
+
+
+def test_settings_of_a_file(tmp_path):
+    at = tmp_path / "c.toml"
+    at.write_text('semantic_max_threshold = 0.05\nphash_size = 8\nsemantic_patch_grid = 16\nrequire_both_signatures = true\nseek_ratio = 1\nffmpeg_path = "x"\nforce_split_pairs = ["1|2", "3,4", " 5 | 5 ", "6", ["7", 8], 9]\n', encoding="utf-8-sig")
+    got = read_settings(at)
+    assert got.options == replace(Options(), t_max=0.05, mid_lower=0.025, phash_size=8, patch_grid=16, require_both_signatures=True, seek_ratio=1.0)
+    assert type(got.options.seek_ratio) is float and got.raw["ffmpeg_path"] == "x" and got.merges == ()
+    assert got.splits == (("1", "2"), ("3", "4"), ("7", "8"))
+    assert read_settings(None).options == read_settings(tmp_path / "none.toml").options == Options()
+    at.write_text("phash_size = [1]")
+    with pytest.raises(TypeError):
+        read_settings(at)
+    assert set(NAMES) <= {f.name for f in fields(Options)} and len(set(NAMES.values())) == len(NAMES)
+
+
 def test_overrides(spark):
     assert found(spark, ROWS, splits=[(1, 4), (5, 1)]) == [[(3, 3), (2, 2), (1, 1)], [(6, 6), (5, 5)]]
     # 7 was never clustered; of an item that nobody knows nothing is merged
