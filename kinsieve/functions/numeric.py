@@ -67,16 +67,3 @@ def format_bytes(n: Column) -> Column:
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
         out = F.when(v < float(1024 ** (power + 1)), F.concat(F.format_string("%.1f", F.bround(v / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
-
-
-def adaptive_gap(events: Column, start: float = 50.0) -> Column:
-    """The request gap in ms after ordered events (ok boolean, at double seconds): every fifth success in a row narrows it, a failure doubles it once a second at most."""
-    zero = F.struct(F.lit(start).alias("gap"), F.lit(0).alias("run"), F.lit(-1e9).alias("grown"))
-
-    def step(a: Column, e: Column) -> Column:
-        run = F.when(e["ok"], a["run"] + 1).otherwise(0)
-        grow = ~e["ok"] & (e["at"] - a["grown"] >= 1.0)
-        gap = F.when(e["ok"] & (run % 5 == 0), F.greatest(F.lit(50.0), F.floor(a["gap"] * 0.85).cast("double"))).when(grow, F.least(F.lit(2000.0), a["gap"] * 2)).otherwise(a["gap"])
-        return F.struct(gap.alias("gap"), run.alias("run"), F.when(grow, e["at"]).otherwise(a["grown"]).alias("grown"))
-
-    return F.aggregate(events, zero, step, lambda a: a["gap"])

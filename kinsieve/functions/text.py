@@ -16,6 +16,7 @@ GONE = (
     "not found", "no longer available", "has been removed", "was removed", "invalid item",
     "an error occurred while processing your request", "there was an error viewing this item", "please try again later",
 )
+ERROR_BOX = r"""(?i)<[a-z][^>]*\s(?:class\s*=\s*["'](?:[^"'>]*\s)?(?:error_ctn|error)(?:\s[^"'>]*)?["']|id\s*=\s*["']error_box["'])"""
 CAN_ADD = r"(?i)SubscribeItemOptionAdd"
 CAN_REMOVE = r"(?i)SubscribeItemBtn[^>]*toggled|subscribeOption\s*\.?\s*remove|取消订阅|已订阅"
 
@@ -130,13 +131,19 @@ def subscription_state(html: Column) -> Column:
     return F.when(remove & ~add, "subscribed").when(add & ~remove, "not_subscribed").otherwise("unknown")
 
 
-def is_gone(title: Column, body: Column, has_button: Column) -> Column:
+def has_error_box(html: Column) -> Column:
+    """Whether some element is an error box, by a word of its class or by its id."""
+    return F.coalesce(html.rlike(ERROR_BOX), F.lit(False))
+
+
+def is_gone(title: Column, body: Column, has_button: Column, html: Column | None = None) -> Column:
+    """Whether a page tells that its item is gone: by its title, a phrase of its text, an error box in its html, or as a short text about an error."""
     low = F.lower(body)
     hit = low.contains(GONE[0])
     for phrase in GONE[1:]:
         hit = hit | low.contains(phrase)
     short = ~has_button & F.length(body).between(1, 199) & body.rlike(r"(?i)error|错误|not\s*found|removed")
-    return F.coalesce(F.lower(title).rlike("错误|error"), F.lit(False)) | hit | short
+    return F.coalesce(F.lower(title).rlike("错误|error"), F.lit(False)) | hit | short | (has_error_box(html) if html is not None else F.lit(False))
 
 
 def response_ok(text: Column) -> Column:

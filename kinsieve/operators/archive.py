@@ -33,8 +33,10 @@ def redirected(paths: DataFrame, safe: DataFrame, path: str = "path") -> DataFra
     return named.join(safe.select(F.col("id").cast("string").alias("_id"), F.col("file").alias("_file")), "_id", "left").withColumn("target", F.coalesce("_file", path)).drop("_id", "_file")
 
 
-def outside_visible(updates: DataFrame, visible: DataFrame, batch: str = "batch") -> DataFrame:
-    """(batch, outside): whether every update (batch, id, status, local, ispreset) of a batch is settled and of no visible item."""
+def outside_visible(updates: DataFrame, visible: DataFrame, batch: str = "batch", source: str = "installed") -> DataFrame:
+    """(batch, outside): whether every update (batch, id, status, local, ispreset) of a batch is settled and of no visible item; only lists of installed or subscribed items can tell."""
+    if source not in ("installed", "workshop"):
+        return updates.select(batch).distinct().withColumn("outside", F.lit(False))
     shown = visible.select("id").distinct().withColumn("_shown", F.lit(True))
     fine = F.col("_shown").isNull() & F.col("id").isNotNull() & F.coalesce(F.col("status").isin(*SETTLED), F.lit(False)) & ~F.coalesce("local", F.lit(False)) & ~F.coalesce("ispreset", F.lit(False))
     return updates.join(shown, "id", "left").groupBy(batch).agg(F.bool_and(fine).alias("outside"))
@@ -110,16 +112,22 @@ def final_state(exit_code: Column) -> Column:
     return F.when(exit_code == 0, "completed").otherwise("incomplete")
 
 
-def removal_outcome(session: Column, fast: Column, http: Column, ok: Column, before: Column, after: Column, last: Column) -> Column:
+# The reasons of removal_outcome().
+REASONS = ("no_sessionid", "fast", "bad_response", "already_not_subscribed", "verify_unknown", "still_subscribed", "exhausted")
+
+
+def removal_outcome(session: Column, fast: Column, http: Column, ok: Column, before: Column, after: Column, last: Column, tries: Column | None = None) -> Column:
     """(success, verified, reason) of one attempt to remove an item, reason again where another attempt is due.
 
     before and after are its page's states (subscribed, not_subscribed, unknown); fast attempts look at the reply only.
+    tries, if given: attempts allowed; without any the item is exhausted.
     """
     result = lambda success, verified, reason: F.struct(F.lit(success).alias("success"), F.lit(verified).alias("verified"), (reason if isinstance(reason, Column) else F.lit(reason).cast("string")).alias("reason"))
     code = F.concat(F.lit("http_"), http.cast("string"))
     again = result(False, False, "again")
     return (
         F.when(~session, result(False, False, "no_sessionid"))
+        .when(tries <= 0 if tries is not None else F.lit(False), result(False, False, "exhausted"))
         .when(fast, F.when(http != 200, result(False, False, code)).when(ok, result(True, False, "fast")).otherwise(result(False, False, "bad_response")))
         .when(before == "not_subscribed", result(True, True, "already_not_subscribed"))
         .when((http == 200) & ok & (after == "not_subscribed"), result(True, True, None))

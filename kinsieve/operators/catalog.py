@@ -135,6 +135,12 @@ def archive_plan(states: DataFrame, sources: DataFrame, key: str = "item_id") ->
     return states.join(there, key, "left").withColumn("action", action).drop("_s")
 
 
+def with_entries(entries: DataFrame, plan: DataFrame, folder: str, key: str = "item_id") -> DataFrame:
+    """entries(folder_id, key) and, for each item that the plan copies or finds complete, its entry in the folder, unless it is there."""
+    wanted = plan.where("action in ('copy', 'skip')").select(F.lit(folder).alias("folder_id"), F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    return entries.unionByName(wanted.join(entries.select("folder_id", "key"), ["folder_id", "key"], "left_anti"), allowMissingColumns=True)
+
+
 def without_items(entries: DataFrame, gone: DataFrame, key: str = "item_id") -> DataFrame:
     """Folder entries whose item is not gone; entries that name no item stay."""
     return entries.join(gone.select(key).distinct(), key, "left_anti")

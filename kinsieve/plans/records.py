@@ -221,7 +221,7 @@ def scheduler_pick(spark, sf_dir):
 def page_state(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
     body = F.regexp_replace("html", "<[^>]*>", " ")
-    return p.select("page_id", T.subscription_state(F.col("html")).alias("state"), T.is_gone(F.regexp_extract("html", "<title>([^<]*)", 1), body, F.lit(False)).alias("gone"))
+    return p.select("page_id", T.subscription_state(F.col("html")).alias("state"), T.is_gone(F.regexp_extract("html", "<title>([^<]*)", 1), body, F.lit(False), F.col("html")).alias("gone"))
 
 
 def id_extraction(spark, sf_dir):
@@ -294,7 +294,7 @@ select id, case when use then af else file end file, case when use then 'a' else
     "lease_expiry": f"with {_TASKS} select job, case when status = 'inflight' and next_ts <= 500 then case when attempts >= 3 then 'failed' else 'queued' end else status end status, count(*) n from t group by 1, 2",
     "backoff": "select event_id, case when event_type = 'signup' then greatest(least(120.0, 5.0 * pow(2, event_id % 9)), least(120.0, 10.0 * pow(2, event_id % 9))) else least(120.0, 5.0 * pow(2, event_id % 9)) end wait, event_type <> 'error' ok, case when value * 100000 < 1024 then printf('%.1f B', value * 100000) when value * 100000 < 1048576 then printf('%.1f KB', value * 100000 / 1024) else printf('%.1f MB', value * 100000 / 1048576) end size, cast(4 as bigint) number from events",
     "scheduler_pick": "with i as (select user_id, event_id, event_id % 16 s, case when event_type = 'error' then 900.0 else 0 end r from events) select user_id, count(case when r > 500 then 1 end) n_deferred, min(case when s & 1 <> 0 and s & 2 = 0 and r <= 500 and (s & 8 <> 0 or s & 4 = 0) then event_id end) item_id from i group by 1",
-    "page_state": f"with b as (select page_id, html, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) low, lower(regexp_extract(html, '<title>([^<]*)', 1)) title from pages) select page_id, case when regexp_matches(html, '{T.CAN_REMOVE}') and not regexp_matches(html, '{T.CAN_ADD}') then 'subscribed' when regexp_matches(html, '{T.CAN_ADD}') and not regexp_matches(html, '{T.CAN_REMOVE}') then 'not_subscribed' else 'unknown' end state, regexp_matches(title, '错误|error') or {_GONE} or (length(low) between 1 and 199 and regexp_matches(low, 'error|错误|not\\s*found|removed')) gone from b",
+    "page_state": f"with b as (select page_id, html, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) low, lower(regexp_extract(html, '<title>([^<]*)', 1)) title from pages) select page_id, case when regexp_matches(html, '{T.CAN_REMOVE}') and not regexp_matches(html, '{T.CAN_ADD}') then 'subscribed' when regexp_matches(html, '{T.CAN_ADD}') and not regexp_matches(html, '{T.CAN_REMOVE}') then 'not_subscribed' else 'unknown' end state, regexp_matches(title, '错误|error') or {_GONE} or (length(low) between 1 and 199 and regexp_matches(low, 'error|错误|not\\s*found|removed')) or regexp_matches(html, '{T.ERROR_BOX.replace(chr(39), chr(39) * 2)}') gone from b",
     "id_extraction": "with m as (select doc_id, regexp_extract_all(text, '[0-9]+') x, text from documents) select doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ',') ids, trim(text) in ('1', 'true') is_ok from m",
     "job_identity": "select event_type, sha256('[\"' || array_to_string(list_sort(list_distinct(list(cast(user_id as varchar)))), '\",\"') || '\"]') job from events group by 1",
     "request_batches": "with r as (select c_custkey, (row_number() over (order by c_custkey) - 1) // 80 batch from customer) select batch, count(*) n, min(c_custkey) first_id from r group by 1",
