@@ -1,15 +1,13 @@
-"""Structured Streaming forms: the task queue by item, and catalogue deltas. Queues by job and candidate buckets are in `stateful`."""
+"""The task queue as a stream keyed by item. Queues by job and candidate buckets are in `stateful`, deltas in `delta`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import store
 from ..operators.queue import LEASE, advance
 
 QUEUE_STATE = "status string, attempts int, next_ts double, token string, error string"
@@ -27,11 +25,3 @@ def queue_stream(events: DataFrame, lease: float = LEASE) -> DataFrame:
 
     kind = events.schema["item_id"].dataType.simpleString()
     return events.groupBy("job", "item_id").applyInPandasWithState(fold, f"job string, item_id {kind}, {QUEUE_STATE}", QUEUE_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def delta_batches(current: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands the sink only updates that say something new."""
-    def run(updates: DataFrame, batch: int) -> None:
-        sink(store.changed_updates(updates, current()).where("keep").drop("keep"), batch)
-
-    return run
