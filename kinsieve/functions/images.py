@@ -22,12 +22,19 @@ def _dct(n: int) -> np.ndarray:
     return np.cos(np.pi * k * (2 * i + 1) / (2 * n))
 
 
+def _averaged(g: np.ndarray, n: int) -> np.ndarray:
+    """n rows: means of stretches of rows whose lengths differ by one at most, or rows again where there are fewer."""
+    have = len(g)
+    if have < n:
+        return g[np.arange(n) * have // n]
+    lengths = np.full(n, have // n) + (np.arange(n) < have % n)
+    return np.add.reduceat(g, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+
+
 def phash(frame: np.ndarray, size: int = 12) -> str:
     """Hex text of the low-frequency block of the DCT against its median; the frame is averaged to 4 * size squared first."""
-    g, side = gray(frame).astype(np.float64), 4 * size
-    rows = np.array_split(np.arange(g.shape[0]), side) if g.shape[0] >= side else [np.array([i * g.shape[0] // side]) for i in range(side)]
-    columns = np.array_split(np.arange(g.shape[1]), side) if g.shape[1] >= side else [np.array([i * g.shape[1] // side]) for i in range(side)]
-    small = np.array([[g[np.ix_(r, c)].mean() for c in columns] for r in rows])
+    side = 4 * size
+    small = _averaged(_averaged(gray(frame).astype(np.float64), side).T, side).T
     low = (_dct(side) @ small @ _dct(side).T)[:size, :size]
     bits = (low > np.median(low)).ravel()
     nibbles = np.r_[np.zeros(-len(bits) % 4, bool), bits].reshape(-1, 4) @ np.array([8, 4, 2, 1])

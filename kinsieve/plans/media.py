@@ -8,16 +8,24 @@ of a frame's first three numbers, its sound the lower half of its hash.
 
 from __future__ import annotations
 
+import struct
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images, sound
 from ..functions import numeric as N
 from ..functions import vectors as V
 from ..operators import blocking, detection, groups, verdict
 from ..operators.components import connected_components
-from ..operators.scratch import written
+from ..operators.scratch import shared_folder, written
 from ..options import SCALED as O  # noqa: N814
 from ..options import Options
+from ..sources.media import Frames, Sound, read_media
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 BINS = [f"{t}{q}" for t in TYPES for q in range(4)]
@@ -40,6 +48,43 @@ def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"hist": hist, "words": F.transform("hashes", lambda h: F.get(h, F.lit(0)).bitwiseAND(2**32 - 1))})
 
 
+#: Frames a second, samples a second, and samples of each number, of the media made of vectors.
+FRAME_RATE, SOUND_RATE, NOTE = 5, 8000, 80
+
+
+def vector_media(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Writes each run of ten vectors as a PPM stream, a picture of 8 x 8 for a vector, and as a WAV file, a note for a number; (file_id, path, size) of the files."""
+    def write(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("fr").to_pylist(), table.column("v").to_pylist(), strict=True))
+        v, own = np.array([x for _, x in rows]), table.column("file_id")[0].as_py()
+        pixels = np.clip(128 + 300 * v, 0, 255).astype(np.uint8).reshape(len(v), 8, 8, 1).repeat(3, 3)
+        picture = b"".join(b"P6\n" + (b"# rate %d\n" % FRAME_RATE if i == 0 else b"") + b"8 8\n255\n" + p.tobytes() for i, p in enumerate(pixels))
+        turns = np.cumsum(np.repeat(440 * 2 ** (2 * v.ravel()), NOTE)) / SOUND_RATE
+        raw = (np.sin(2 * np.pi * turns) * 30_000).astype("<i2").tobytes()
+        body = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, SOUND_RATE, 2 * SOUND_RATE, 2, 16) + b"data" + struct.pack("<I", len(raw)) + raw
+        store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(at)
+        files = {f"{at}/{own}.ppm": picture, f"{at}/{own}.wav": b"RIFF" + struct.pack("<I", len(body)) + body}
+        for path, data in files.items():
+            with store.open_output_stream(path) as out:
+                out.write(data)
+        return pa.table({"file_id": [own] * 2, "path": list(files), "size": [len(x) for x in files.values()]})
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") / 10).cast("long").alias("file_id"), (F.col("vec_id") % 10).alias("fr"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return written(e.groupBy("file_id").applyInArrow(write, "file_id long, path string, size long"))
+
+
+def media_features(spark, sf_dir):
+    """What the data sources and features read back of the vectors' pictures and sounds."""
+    folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    files = vector_media(spark, sf_dir, folder)
+    frames = read_media(spark, Frames, folder).select("path", "size", "duration", "rule", F.size("frames").alias("n_frames"), images.visual_features("frames", "side", "side")["phash_parts"].alias("parts"))
+    sounds = read_media(spark, Sound, folder).select("path", "size", F.col("duration").alias("sounding"), sound.fingerprint_words("samples").alias("words"))
+    seen = files.join(frames, ["path", "size"]).select("file_id", "duration", "rule", "n_frames", F.size("parts").alias("n_hashes"), F.length(F.get("parts", F.lit(0))).alias("digits"))
+    heard = files.join(sounds, ["path", "size"]).select("file_id", "sounding", F.size("words").alias("n_words"))
+    return seen.join(heard, "file_id")
+
+
 def frame_pairs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return blocking.bucket_pairs(frame_files(spark, sf_dir), ["file_id", *keep])
 
@@ -176,7 +221,7 @@ def export_rows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    bucket_candidates, bucket_pairs, cross_bucket_pairs, duration_pairs, sample_window, hash_distance, phash_score, color_distance, audio_distance, frame_distance_stats,
+    media_features, bucket_candidates, bucket_pairs, cross_bucket_pairs, duration_pairs, sample_window, hash_distance, phash_score, color_distance, audio_distance, frame_distance_stats,
     patch_verdict, center_mask, gate_cascade, near_duplicate_groups, exact_duplicate_groups, force_overrides, keeper_order, export_rows,
 )} | {"connected_components": components}
 
@@ -242,6 +287,8 @@ _CC = "bo as (select a, b from {0} union select b, a from {0}), re(node, r) as (
 _RANK = "cast(row_number() over (partition by {0} order by size desc, mtime, item_id) as bigint)"
 
 ORACLE = {
+    "media_features": f"""with f as (select vec_id // 10 file_id, count(*) n from embeddings group by 1), t as (select *, n * 64 * {NOTE} samples, cast(floor(n * 64 * {NOTE} * 11025 / {SOUND_RATE}) as bigint) heard from f)
+select file_id, n / {FRAME_RATE} duration, 'even' rule, cast(n as integer) n_frames, cast(n as integer) n_hashes, 36 digits, samples / {SOUND_RATE} sounding, cast(greatest(0, 1 + (heard - 4096) // 1365 - 16) as integer) n_words from t""",
     "bucket_candidates": f"with {_FILES} select bucket, count(*) n_files, count(distinct item_id) n_items from files group by 1 having count(*) >= 2 and count(distinct item_id) >= 2",
     "bucket_pairs": f"with {_FILES} select a.bucket, count(*) n_pairs from files a join files b on a.bucket = b.bucket and a.file_id < b.file_id group by 1",
     "cross_bucket_pairs": f"with {_FILES}, l as (select bucket, cast(bucket as double) v from files group by 1), n as (select bucket, v, lead(bucket) over (order by v) nb, lead(v) over (order by v) nv from l) select n.bucket, nb next_bucket, count(*) n_pairs from n join files a on a.bucket = n.bucket join files b on b.bucket = nb where nv - v <= {O.duration_cross_bucket_tolerance} group by 1, 2",
