@@ -29,8 +29,10 @@ MASKS = ("1111", "11101", "10111", "11011")
 #: Words of the items that need a mask, least and most. Items below the shortest of MASKS have masks of their own length.
 LENGTHS = {"1": (1, 1), "11": (2, 2), "111": (3, 3), **dict(zip(MASKS, ((4, 2**31 - 1), (5, 2**31 - 1), (5, 6), (5, 5)), strict=True))}
 WINDOW, PERCENT = 15, 80
-#: Benchmark seeds are broadcast up to this many (24 bytes each); beyond it the join shuffles.
+#: Benchmark seeds are broadcast up to this many (24 bytes each); beyond it the join shuffles seeds and positions, no words.
 MAX_BROADCAST = 1_000_000
+#: Words of a piece of a document that such a join's hits look words up in, but for the overlap.
+PIECE = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -49,6 +51,15 @@ def _positions(words: Column, masks: list[str]) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last))
 
 
+def _looked_up(hits: DataFrame, d: DataFrame, longest: int) -> DataFrame:
+    """The words at each hit, from pieces of the documents that overlap by the longest item."""
+    pieces = d.where(F.size("words") > 0).select("doc_id", "h", "words", F.explode(F.sequence(F.lit(0), ((F.size("words") - 1) / PIECE).cast("int"))).alias("block"))
+    pieces = pieces.select(F.col("doc_id").alias("of"), F.col("h").alias("hash"), "block", F.slice("words", F.col("block") * PIECE + 1, F.lit(PIECE + longest)).alias("words"))
+    at = hits.withColumn("at", (F.col("from") / PIECE).cast("int"))
+    same = at["doc_id"].eqNullSafe(pieces["of"]) & (at["h"] == pieces["hash"]) & (at["at"] == pieces["block"])
+    return at.join(pieces, same).select("doc_id", "h", "item_id", "lie", F.slice("words", F.col("from") - F.col("block") * PIECE + 1, F.lit(longest)).alias("piece"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """doc_id, h (hash of the text), item_id, start (of the best window, in words), n_equal and n_window."""
     bench = items.select(F.col(item_key).alias("item_id"), words_of(F.col(item_text)).alias("item")).where(F.size("item") > 0)
@@ -61,13 +72,18 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     small = F.broadcast if bounded else lambda df: df
 
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), words_of(F.col(text)).alias("words"))
-    d = d.select("doc_id", "h", "words", F.explode(_positions(F.col("words"), masks)).alias("at"))
-    d = d.select("doc_id", "h", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"), masks)).alias("seed")).where("seed is not null")
     lie = F.col("at") - F.col("p")
-    hits = d.join(small(seeds), "seed").select("doc_id", "h", "item_id", lie.alias("lie"), F.greatest(lie, F.lit(0)).alias("from"), "words")
+    hit = ("doc_id", "h", "item_id", lie.alias("lie"), F.greatest(lie, F.lit(0)).alias("from"))
+    placed = d.select("doc_id", "h", "words", F.explode(_positions(F.col("words"), masks)).alias("at"))
+    placed = placed.select("doc_id", "h", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"), masks)).alias("seed")).where("seed is not null")
     # the item's words follow after the join below
-    hits = hits.select("doc_id", "h", "item_id", "lie", F.slice("words", F.col("from") + 1, F.lit(longest)).alias("piece"))
-    stretches = hits.groupBy("doc_id", "h", "item_id", "lie").agg(F.first("piece").alias("piece"))
+    if bounded:
+        hits = placed.join(small(seeds), "seed").select(*hit, "words")
+        stretches = hits.select("doc_id", "h", "item_id", "lie", F.slice("words", F.col("from") + 1, F.lit(longest)).alias("piece"))
+    else:
+        hits = placed.drop("words").join(seeds, "seed").select(*hit).distinct()
+        stretches = _looked_up(hits, d, longest)
+    stretches = stretches.groupBy("doc_id", "h", "item_id", "lie").agg(F.first("piece").alias("piece"))
 
     item = F.col("item")
     skipped = F.greatest(-F.col("lie"), F.lit(0))

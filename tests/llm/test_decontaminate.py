@@ -62,6 +62,29 @@ def test_against_brute_force(spark, fixture):
     assert left == {x[0] for x in more} - {x[0] for x in got}
 
 
+def joined_on(plan, column):
+    """Columns of both sides of the physical join whose condition or keys name the column."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    found = [n for c in children for n in joined_on(c, column)]
+    if "Join" in plan.nodeName() and column in plan.leftKeys().toString():
+        found += [{c.output().apply(i).name() for i in range(c.output().size())} for c in children]
+    return found
+
+
+def test_more_seeds_than_a_broadcast_holds(spark, fixture, monkeypatch):
+    docs, items = fixture
+    docs = [*docs, (100, None), (101, ""), (7, docs[7][1]), (102, "x " * 9000 + items[3][1] + " y" * 70), (None, items[2][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    held = sorted(map(str, dc.contaminated(d, b).collect()))
+    assert any("doc_id=102" in x for x in held) and any("doc_id=None" in x for x in held)
+    monkeypatch.setattr(dc, "MAX_BROADCAST", 0)
+    for size in (4096, 7):
+        monkeypatch.setattr(dc, "PIECE", size)
+        assert sorted(map(str, dc.contaminated(d, b).collect())) == held
+    sides = joined_on(dc.contaminated(d, b)._jdf.queryExecution().sparkPlan(), "seed")
+    assert len(sides) == 2 and not any({"words", "item", "text"} & side for side in sides)
+
+
 def test_substitutions_are_tolerated(spark):
     passage = [f"p{i}" for i in range(30)]
     changed = [w if k % 5 != 2 else f"q{k}" for k, w in enumerate(passage)]
