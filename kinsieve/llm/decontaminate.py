@@ -110,22 +110,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, items).drop("h")
 
 
-_SEED = ", ".join("case when p + {} <= len(w) then concat_ws(' ', {}) end".format(len(m), ", ".join([f"'{k}'", *(f"w[p + {i + 1}]" for i, b in enumerate(m) if b == "1")])) for k, m in enumerate(MASKS))
+# The twin knows nothing of seeds: it counts the agreeing words of every alignment that has any.
 OP7_SQL = f"""
-with d as (select distinct doc_id, text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w from documents where text is not null),
+with t as (select distinct doc_id, text from documents where text is not null),
+d as (select row_number() over () k, doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w from t),
 b as (select item_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w from benchmark where text is not null),
-bp as (select item_id, w, unnest(range(0, len(w) - {min(map(len, MASKS)) - 1})) p from b),
-bs as (select item_id, p, unnest([{_SEED}]) seed from bp),
-dp as (select doc_id, text, w, unnest(range(0, len(w) - {min(map(len, MASKS)) - 1})) p from d),
-ds as (select doc_id, text, p, unnest([{_SEED}]) seed from dp),
-hits as (select distinct ds.doc_id, ds.text, bs.item_id, ds.p - bs.p lie from ds join bs on ds.seed = bs.seed),
+bp as (select item_id, len(w) m, unnest(w) word, unnest(range(0, len(w))) p from b),
+dp as (select k, unnest(w) word, unnest(range(0, len(w))) p from d),
+hits as (
+  select dp.k, bp.item_id, dp.p - bp.p lie from dp join bp on dp.word = bp.word
+  group by all having 100 * count(*) >= {PERCENT} * least(any_value(bp.m), {WINDOW})),
 eq as (
-  select h.doc_id, h.text, h.item_id, h.lie, len(b.w) m,
+  select h.k, d.doc_id, h.item_id, h.lie, len(b.w) m,
     list_transform(range(0, len(b.w)), lambda j: case when h.lie + j >= 0 and coalesce(b.w[j + 1] = d.w[h.lie + j + 1], false) then 1 else 0 end) e
-  from hits h join b on b.item_id = h.item_id join d on d.doc_id is not distinct from h.doc_id and d.text = h.text),
+  from hits h join b on b.item_id = h.item_id join d on d.k = h.k),
 win as (select *, least(m, {WINDOW}) n, unnest(range(0, m - least(m, {WINDOW}) + 1)) j from eq),
 sums as (select *, list_sum(e[j + 1 : j + n]) s from win)
 select doc_id, item_id, cast(lie + j as bigint) start, cast(s as bigint) n_equal, cast(n as bigint) n_window
 from sums where 100 * s >= {PERCENT} * n
-qualify row_number() over (partition by doc_id, text, item_id order by s desc, lie + j) = 1
+qualify row_number() over (partition by k, item_id order by s desc, lie + j) = 1
 """
