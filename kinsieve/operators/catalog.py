@@ -103,6 +103,11 @@ def with_item(folders: DataFrame, key: str) -> DataFrame:
     return folders.where(F.array_contains(F.map_keys("items"), key))
 
 
+def in_folders(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, path) of every folder of entries(path, key) that holds one of the keys; a key may lie in several."""
+    return entries.join(keys.select("key").distinct(), "key", "left_semi").select("key", "path").distinct()
+
+
 def alive_state(ids: DataFrame, alive: DataFrame, key: str = "item_id") -> DataFrame:
     """ids with state alive or orphan."""
     known = alive.select(key).distinct().withColumn("_alive", F.lit(True))

@@ -8,6 +8,7 @@ overwrite of rows staged before, so a lost executor repeats a task and a failed
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,12 @@ KINDS = {
 }
 
 
+def latest(rows: DataFrame, own: list[str], into: str = "_new") -> DataFrame:
+    """(path, into: the columns `own`) of the last updated row of each path; rows without a path go."""
+    order = F.struct("updated", "mtime", "size", F.xxhash64(*own))
+    return rows.where("path is not null").groupBy("path").agg(F.max_by(F.struct(*own), order).alias(into))
+
+
 def _names(ddl: str) -> list[str]:
     return StructType.fromDDL(ddl).fieldNames()
 
@@ -62,9 +69,7 @@ class FeatureTable:
 
     def _merge(self, batch: DataFrame, own: list[str]) -> int:
         """Renews the columns `own` of the batch's rows; of several rows of a path the last updated. Returns how many buckets were written."""
-        order = F.struct("updated", "mtime", "size", F.xxhash64(*own))
-        latest = batch.where("path is not null").groupBy("path").agg(F.max_by(F.struct(*own), order).alias("_new"))
-        news = written(self._bucketed(latest))
+        news = written(self._bucketed(latest(batch, own)))
         # no more numbers than buckets
         touched = sorted(r.bucket for r in news.select("bucket").distinct().collect())
         if touched:
@@ -98,3 +103,28 @@ class FeatureTable:
         if f"{kind}_hash" in own:
             stored = stored.where(F.col(f"{kind}_hash") == wanted)
         return files.join(stored, ["path", "size"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    def fill(self, files: DataFrame, kind: str, compute: Callable[[DataFrame], DataFrame], wanted: str | None = None, pieces: int = 1) -> tuple[int, int]:
+        """Computes a kind's features of the files (ABOUT) that the table lacks for their size and settings, and merges them; (stored, failed) rows.
+
+        compute gets files and returns ABOUT, the kind's columns but its hash, and error. A row with an error is not stored, so that the next run
+        tries it again; a null feature without one is stored. The files go in `pieces`, each with buckets of its own: only those are read, and a run
+        that was broken off goes on after the last piece that was merged. Of several rows of a path the last updated counts.
+        """
+        hashed = f"{kind}_hash" in _names(self.kinds[kind])
+        about = _names(ABOUT)
+        listed = self._bucketed(latest(files, about, "_file").select("_file.*"))
+        done = failed = 0
+        for i in range(pieces):
+            own = F.col("bucket").between(i * self.buckets // pieces, (i + 1) * self.buckets // pieces - 1)
+            stored = self._stored().where(own)
+            # without a hash nothing tells a stored null from none, so it is computed again
+            has = F.col(f"{kind}_hash") == wanted if hashed else F.coalesce(*_names(self.kinds[kind])).isNotNull()
+            todo = listed.where(own).join(stored.where(has).select("path", "size"), ["path", "size"], "left_anti").select(*about)
+            found = written(compute(todo))
+            good = found.where("error is null").drop("error")
+            n = found.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
+            self.merge(kind, good.withColumn(f"{kind}_hash", F.lit(wanted)) if hashed else good)
+            dropped(found)
+            done, failed = done + n[0], failed + n[1]
+        return done, failed

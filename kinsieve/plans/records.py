@@ -94,6 +94,43 @@ def feature_merge(spark, sf_dir):
     return known.select("path", "item_id", "updated", "secs", F.col("part"), "known")
 
 
+def feature_resume(spark, sf_dir):
+    """Orders as files, finished ones first, then all, of which every fourth has grown; the lines of some can't be read while their size is odd."""
+    table = features.FeatureTable(spark, f"{shared_folder(spark)}/features-{uuid.uuid4().hex}", {"lines": "quantity double, lines_hash string"}, 16)
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("item_id")).agg(F.sum(F.col("l_quantity").cast("double")).alias("quantity"), F.bool_or(F.col("l_returnflag") == "R").alias("odd"))
+    k = F.col("o_orderkey")
+
+    def listed(run):
+        about = [F.concat(F.lit("o/"), k.cast("string")).alias("path"), (k % 7 + F.when(k % 4 == 0, run).otherwise(0)).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), k.cast("string").alias("item_id"), F.lit(None).cast("string").alias("url"), F.lit(run).cast("long").alias("updated")]
+        return _t(spark, sf_dir, "orders").where(F.lit(run == 1) | (F.col("o_orderstatus") == "F")).select(*about)
+
+    def compute(files):
+        read = files.join(lines, "item_id", "left").withColumn("error", F.when(F.col("odd") & (F.col("size") % 2 == 1), "unreadable"))
+        return read.withColumn("quantity", F.when(F.col("error").isNull(), F.col("quantity"))).drop("odd")
+
+    for run in (0, 1):
+        table.fill(listed(run), "lines", compute, "v1", pieces=2)
+    return table.rows().select("path", "size", "updated", "quantity")
+
+
+def manifest_check(spark, sf_dir):
+    """Orders as entries of a manifest: some without a numeric id, outside the known folders, with a step upwards, or twice in another case."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    item = F.when(n == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise((k / 2).cast("long").cast("string"))
+    folder = F.when(n == 1, "projects/other/").when(k % 2 == 0, "projects/myprojects/").otherwise("projects/backup/")
+    file = F.when(n == 2, "/../v.mp4").when(n == 3, "/V.MP4").otherwise("/v.mp4")
+    entries = _t(spark, sf_dir, "orders").select(item.alias("item_id"), F.concat(folder, (k % 1000).cast("string"), file).alias("rel"))
+    return catalog.safe_manifest(entries)
+
+
+def folder_search(spark, sf_dir):
+    """Nations and hundreds as folders of customers: every folder that holds the customer of a day's first order."""
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("n/"), F.col("c_nationkey").cast("string")).alias("path"), F.col("c_custkey").cast("string").alias("key"))
+    both = c.unionByName(c.select(F.concat(F.lit("h/"), (F.col("key").cast("long") / 100).cast("long").cast("string")).alias("path"), "key"))
+    wanted = _t(spark, sf_dir, "orders").groupBy("o_orderdate").agg(F.min_by("o_custkey", "o_orderkey").cast("string").alias("key"))
+    return catalog.in_folders(both, wanted.select("key").distinct())
+
+
 def upsert_latest(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     return store.upserted(e.where("value < 50"), e.where("value >= 50"), ["user_id", "event_type"], "event_id")
@@ -241,7 +278,7 @@ def request_batches(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, feature_merge, delta_index, profile_search, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
+    mode_extraction, url_params, path_ids, twin_fallback, cache_join, upsert_latest, feature_merge, feature_resume, manifest_check, folder_search, delta_index, profile_search, classify_items, alive_orphan, folder_counts, completeness_check, archive_states,
     delta_filter, delta_containment, overlay_priority, queue_fold, queue_stats, lease_batch, lease_expiry, backoff, scheduler_pick, page_state, id_extraction, job_identity, request_batches,
 )}
 
@@ -274,6 +311,17 @@ select k update_id, k in (select k from n) keep from c""",
 v as (select o_custkey k, arg_max(o_orderpriority, o_orderkey) part, max(o_orderkey) u from orders where o_orderstatus = 'O' group by 1),
 b as (select k, coalesce(v.u, d.u) updated, cast(secs as double) secs, case when k % 3 = 0 then part end part, k % 3 = 0 and v.u is not null known from d full join v using (k))
 select 'w/' || k path, cast(k as varchar) item_id, updated, secs, part, known from b union all select 'm/' || k, 'mp:' || k, -1, secs, part, known from b where k % 10 = 0""",
+    "feature_resume": """with l as (select l_orderkey k, sum(l_quantity) q, bool_or(l_returnflag = 'R') r from lineitem group by 1),
+o as (select o_orderkey k, o_orderstatus = 'F' and not (coalesce(r, false) and o_orderkey % 7 % 2 = 1) stored, o_orderkey % 7 s0, o_orderkey % 7 + case when o_orderkey % 4 = 0 then 1 else 0 end s1, q, coalesce(r, false) r from orders left join l on l.k = o_orderkey),
+f as (select *, (not stored or s0 <> s1) and not (r and s1 % 2 = 1) again from o)
+select 'o/' || k path, case when again then s1 else s0 end size, case when again then 1 else 0 end updated, cast(q as double) quantity from f where again or stored""",
+    "manifest_check": """with e as (select case when o_orderkey % 7 = 0 then 'x' || o_orderkey else cast(o_orderkey // 2 as varchar) end item_id,
+case when o_orderkey % 7 = 1 then 'projects/other/' when o_orderkey % 2 = 0 then 'projects/myprojects/' else 'projects/backup/' end || (o_orderkey % 1000) || case o_orderkey % 7 when 2 then '/../v.mp4' when 3 then '/V.MP4' else '/v.mp4' end rel from orders)
+select item_id, rel from e where item_id not like 'x%' and rel not like 'projects/other/%' and not contains(rel, '/../')
+qualify row_number() over (partition by lower(rel) order by item_id, rel) = 1""",
+    "folder_search": """with c as (select 'n/' || c_nationkey path, c_custkey k from customer union all select 'h/' || (c_custkey // 100), c_custkey from customer),
+w as (select distinct arg_min(o_custkey, o_orderkey) k from orders group by o_orderdate)
+select distinct cast(k as varchar) as key, path from c join w using (k)""",
     "upsert_latest": "select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1",
     "classify_items": """with r as (select o_custkey item_id, o_orderkey k, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1),
 x as (select c_custkey item_id, k, case when k % 11 = 0 then 9 when k % 13 = 0 then 15 when k % 17 = 0 then 0 else 1 end res, k % 7 = 0 or k % 19 = 0 ban, case when k % 5 = 0 then (k // 5) % 4 - 1 else 0 end vis, case when k % 3 = 0 then '' else o_orderstatus end title from customer left join r on c_custkey = item_id),

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinsieve.operators.features import FeatureTable
 from kinsieve.options import Options, feature_hash
@@ -70,3 +71,35 @@ def test_lookup_by_size_and_settings(spark, table):
 
 def test_nothing_to_merge(spark, table):
     assert table.merge("audio", batch(spark, "audio")) == 0 and table.rows().count() == 0 and not os.path.exists(table.at)
+
+
+def test_a_run_computes_what_is_missing(spark, table):
+    asked = []
+
+    def compute(files):
+        asked.append({r.path for r in files.collect()})
+        if broken and len(asked) > 1:
+            raise RuntimeError("executors lost")
+        return files.select("*", F.array("path").alias("parts"), F.when(F.col("size") == 13, "no_frames").alias("error"))
+
+    def listing(*rows):
+        return spark.createDataFrame([(p, size, 0, p, "u", updated) for p, size, updated in rows], ABOUT)
+
+    broken = True
+    files = [(f"p{i}", 10, 1) for i in range(30)] + [("bad", 13, 1), (None, 1, 1), ("p1", 9, 0)]
+    with pytest.raises(RuntimeError):
+        table.fill(listing(*files), "visual", compute, "v1", pieces=3)
+    first = set(stored(table))
+    assert 0 < len(first) < 30 and first <= asked[0]
+    broken, asked[:] = False, []
+    done, failed = table.fill(listing(*files), "visual", compute, "v1", pieces=3)
+    assert set().union(*asked) == ({f"p{i}" for i in range(30)} | {"bad"}) - first
+    assert (done + len(first), failed) == (30, 1)
+    # nothing is left but what failed; other sizes and settings are made anew
+    asked[:] = []
+    assert table.fill(listing(*files), "visual", compute, "v1", pieces=3) == (0, 1) and set().union(*asked) == {"bad"}
+    assert table.fill(listing(("p1", 11, 2), ("p2", 10, 2), ("bad", 14, 2)), "visual", compute, "v1") == (2, 0) and asked[-1] == {"p1", "bad"}
+    assert table.fill(listing(("p2", 10, 3)), "visual", compute, "v2") == (1, 0)
+    got = stored(table)
+    assert got["p1"][:2] == (11, 2) and got["p2"][4] == "v2" and got["p3"][3] == ["p3"] and len(got) == 31
+    assert table.fill(listing(), "visual", compute, "v1") == (0, 0)
