@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinsieve.functions import numeric, text
-from kinsieve.operators import archive, catalog
+from kinsieve.operators import archive, catalog, groups
 from kinsieve.sources import files
 
 
@@ -64,3 +64,20 @@ def test_incomplete_batches_stop_a_run(spark):
     for flags in ((True, False), (None,)):
         with pytest.raises(Exception, match="a batch of the status request failed"):
             ok(*flags).collect()
+
+
+def test_entries_of_folders_and_manifests(spark):
+    folders = spark.createDataFrame([("a", {"7": 1, "/x/y.mp4": 1}), ("a/b", {"7": 2}), ("c", None)], "path string, items map<string,int>")
+    assert sorted(r.path for r in catalog.with_item(folders, "7").collect()) == ["a", "a/b"] and catalog.with_item(folders, "8").count() == 0
+    assert sorted(map(tuple, catalog.folder_ids(folders).collect())) == [("a", "7"), ("a/b", "7")]
+    entries = spark.createDataFrame([("a", "7"), ("a", "7"), ("b", "7"), (None, "7"), ("b", None), ("c", "8")], "path string, key string")
+    wanted = spark.createDataFrame([("7",), ("7",), (None,), ("9",)], "key string")
+    assert sorted((r.key, str(r.path)) for r in catalog.in_folders(entries, wanted).collect()) == [("7", "None"), ("7", "a"), ("7", "b")]
+    rel = "projects/backup/7/"
+    rows = [("7", rel + "a.mp4"), ("8", rel + "A.MP4"), ("x", rel + "b.mp4"), (None, rel + "c.mp4"), ("7", None), ("7", rel + "../d.mp4"), ("7", "projects/other/7/e.mp4"), ("7", rel + "f..mp4")]
+    assert sorted(map(tuple, catalog.safe_manifest(spark.createDataFrame(rows, "item_id string, rel string")).collect())) == [("7", rel + "a.mp4"), ("7", rel + "f..mp4")]
+
+
+def test_targets_of_a_sheet(spark):
+    sheet = spark.createDataFrame([(["keep", "x", None, "y"],), (["alone"],), ([],), (None,)], "links array<string>")
+    assert [r.url for r in groups.targets_of(sheet).collect()] == ["x", "y"]
