@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from kinsieve.operators import tiles
+from kinsieve.operators import blocking, tiles
 from kinsieve.operators.components import connected_components
 from kinsieve.plans import media
 
@@ -51,3 +51,16 @@ def test_the_query_links_no_more_than_its_blocks_need(spark):
     rows.write.parquet(f"{folder}/embeddings.parquet")
     assert media.similar(spark, folder).count() < 600
     assert [tuple(r) for r in media.force_overrides(spark, folder).collect()] == [(299, 1)]
+
+
+def test_counts_of_pairs_are_those_of_the_pairs(spark):
+    """Repeated and null ids, a bucket without pairs, buckets too far apart; five million rows of a bucket are counted without their pairs."""
+    rows = [(1, "1.0"), (1, "1.0"), (2, "1.0"), (3, "1.5"), (None, "1.5"), (4, "9.0"), (4, "9.0"), (5, "2.0"), (6, "2.0"), (7, None), (8, None)]
+    files = spark.createDataFrame(rows, "file_id long, bucket string")
+    inside = blocking.bucket_pairs(files, ["file_id"]).groupBy("bucket").count()
+    assert sorted(map(tuple, blocking.pair_counts(files).collect())) == sorted(map(tuple, inside.collect()))
+    beside = blocking.cross_bucket_pairs(files, ["file_id"], 0.6).groupBy("bucket", "next_bucket").count()
+    assert sorted(map(tuple, blocking.cross_bucket_counts(files, 0.6).collect())) == sorted(map(tuple, beside.collect())) == [("1.0", "1.5", 6), ("1.5", "2.0", 4)]
+    many = spark.range(5_000_000).selectExpr("id file_id", "if(id % 2 = 0, '1.0', '1.5') bucket")
+    assert {r.n_pairs for r in blocking.pair_counts(many).collect()} == {2_500_000 * 2_499_999 // 2}
+    assert [r.n_pairs for r in blocking.cross_bucket_counts(many, 0.6).collect()] == [2_500_000**2]
