@@ -172,3 +172,14 @@ def test_from_files_to_distances(spark, folder):
     got = rows(words)
     pair = spark.createDataFrame([(got["a.wav"].words, got["stereo.wav"].words)], "a array<long>, b array<long>")
     assert pair.select(V.fingerprint_distance(F.col("a"), F.col("b"), 40)).first()[0] < 0.15
+
+
+def test_many_small_files_are_dealt_to_many_tasks(spark, tmp_path):
+    """Their bytes alone would put them into one partition, their number doesn't."""
+    files = [(f"f{i:05}", 2000) for i in range(10_000)]
+    dealt = media.packed(files, media.PARTITION_BYTES, media.OPEN_BYTES)
+    assert len(dealt) > 30 and [f for p in dealt for f in p.files] == files
+    for i in range(300):
+        (tmp_path / f"{i}.ppm").write_bytes(b"P6\n# rate 1\n1 1\n255\nabc")
+    df = media.read_media(spark, media.Frames, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 2 and df.where("rule is not null").count() == 300
