@@ -113,7 +113,8 @@ class FeatureTable:
         """
         hashed = f"{kind}_hash" in _names(self.kinds[kind])
         about = _names(ABOUT)
-        listed = self._bucketed(latest(files, about, "_file").select("_file.*"))
+        # once, not for each piece
+        listed = written(self._bucketed(latest(files, about, "_file").select("_file.*")))
         done = failed = 0
         for i in range(pieces):
             own = F.col("bucket").between(i * self.buckets // pieces, (i + 1) * self.buckets // pieces - 1)
@@ -127,4 +128,5 @@ class FeatureTable:
             self.merge(kind, good.withColumn(f"{kind}_hash", F.lit(wanted)) if hashed else good)
             dropped(found)
             done, failed = done + n[0], failed + n[1]
+        dropped(listed)
         return done, failed

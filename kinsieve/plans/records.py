@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import blocking, catalog, features, queue, store
-from ..operators.scratch import shared_folder
+from ..operators.scratch import shared_folder, written
 from ..streaming import delta
 
 
@@ -98,6 +98,7 @@ def feature_resume(spark, sf_dir):
     """Orders as files, finished ones first, then all, of which every fourth has grown; the lines of some can't be read while their size is odd."""
     table = features.FeatureTable(spark, f"{shared_folder(spark)}/features-{uuid.uuid4().hex}", {"lines": "quantity double, lines_hash string"}, 16)
     lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("item_id")).agg(F.sum(F.col("l_quantity").cast("double")).alias("quantity"), F.bool_or(F.col("l_returnflag") == "R").alias("odd"))
+    lines = written(lines)  # every piece of every run reads them
     k = F.col("o_orderkey")
 
     def listed(run):

@@ -103,3 +103,21 @@ def test_a_run_computes_what_is_missing(spark, table):
     got = stored(table)
     assert got["p1"][:2] == (11, 2) and got["p2"][4] == "v2" and got["p3"][3] == ["p3"] and len(got) == 31
     assert table.fill(listing(), "visual", compute, "v1") == (0, 0)
+
+
+def test_a_listing_is_worked_out_once(spark, table, tmp_path):
+    """Not again for each piece."""
+    (tmp_path / "seen").mkdir()
+    at = str(tmp_path / "seen")
+
+    def look(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with open(os.path.join(at, path), "a") as f:
+                    f.write("x")
+            yield b
+
+    files = spark.createDataFrame([(f"p{i}", 10, 0, "i", "u", 1) for i in range(20)], ABOUT).mapInArrow(look, ABOUT)
+    compute = lambda rows: rows.select("*", F.array("path").alias("parts"), F.lit(None).cast("string").alias("error"))
+    assert table.fill(files, "visual", compute, "v1", pieces=4) == (20, 0)
+    assert {os.path.getsize(os.path.join(at, f"p{i}")) for i in range(20)} == {1}
