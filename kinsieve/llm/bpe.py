@@ -84,19 +84,22 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
 
     def run(batches):
         c = codec(rank_file, pattern)
-        for batch in batches:
-            ids = [c.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-            columns = [
-                batch.column(0),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
-            ]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in ids], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in batch.column(1)]
+                columns = [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
+                ]
+                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in ids], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            c.cache.clear()  # the codec outlives the task, and the stages after it need the memory
 
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocking import bucket_pairs
 from ..operators.components import connected_components
-from .common import Cache, dropped, hash64, mixed, read, shingled, written
+from .common import dropped, hash64, mixed, read, shingled, written
 
 SHINGLE, PERCENT = 5, 80
 BASE = 0x9FB21C651E98DF25
@@ -48,7 +48,6 @@ RANGE = 1.25
 
 def sets_of(batches, column: int, size: int):
     """(batch, first row, list of each row's sorted shingle hashes) for stretches of rows."""
-    cache = Cache(hash64)
     for batch in batches:
         texts = batch.column(column)
         first, rows, n = 0, [], 0
@@ -58,7 +57,7 @@ def sets_of(batches, column: int, size: int):
             rows.append(words)
             n += len(words)
             if n >= CHUNK or i + 1 == len(texts):
-                hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(rows)), np.uint64, n)
+                hashes = np.fromiter(map(hash64, chain.from_iterable(rows)), np.uint64, n)  # most words stand once: a cache of them costs memory and more time
                 every = shingled(hashes, size, BASE)
                 sets, at = [], 0
                 for r in rows:

@@ -20,6 +20,7 @@ documents that repeat an id are all learned from. Extra columns pass through.
 from __future__ import annotations
 
 import re
+import weakref
 from dataclasses import dataclass, field
 from math import fsum
 
@@ -181,7 +182,8 @@ class Words:
     starts: Cache = field(init=False)
 
     def __post_init__(self):
-        self.cache = Cache(self.one)
+        own = weakref.ref(self)  # no cycle: the caches go with the last reference, not when the collector runs
+        self.cache = Cache(lambda token: own().one(token))
         self.starts = Cache(lambda start: _hashed(f"^{len(start)}{start}"))
 
     def features(self, word: str) -> list[int]:
@@ -290,7 +292,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score
     def run(batches):
         score = shared.value.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(t) for t in batch.column(at).to_pylist()], pa.float64())], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(t.as_py()) for t in batch.column(at)], pa.float64())], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, docs.withColumn(into, F.lit(0.0)).schema)
 
