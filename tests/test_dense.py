@@ -101,3 +101,37 @@ def test_rounding_is_that_of_the_database(n):
     expected = np.array([r[0] for r in duckdb.connect().execute(f"select round(k / (32.0::double * {n}), 6) from range({32 * n}) t(k) order by k").fetchall()])
     assert (dense.rounded(x) == expected).all()
     assert Options().audio_min_length == 40
+
+
+def sides(n, frames):
+    """Two lists of files without odd shapes, padded."""
+    r = np.random.default_rng(3)
+    for _ in range(2):
+        v, sizes, one = r.normal(size=(n, frames, 64)) / 8, np.full(n, frames), lambda *shape: np.ones((n, frames, *shape), np.int64)
+        yield {"frames": (v, sizes, 64 * one()), "patches": (2 * v.reshape(n, frames, 16, 4), sizes, 16 * one(), 4 * one(16)), "hashes": (r.integers(-(2**63), 2**63 - 1, (n, frames, 1)), sizes, one()), "hist": (np.abs(v[:, 0]), np.full(n, 64))}
+
+
+@pytest.mark.parametrize(("part", "kernel", "most"), [
+    ("patches", lambda a, b: dense.patch_stats(a, b, 4, SCALED), 155),
+])
+def test_a_pair_needs_few_bytes(part, kernel, most):
+    """Distances of a tile are summed up one after the other, not kept for each frame, and counts are small numbers."""
+    import tracemalloc
+
+    a, b = (side[part] for side in sides(128, 14))
+    kernel(a, b)
+    tracemalloc.start()
+    kernel(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most * 128 * 128, peak / 128 / 128
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.5, 0.8, 0.999])
+def test_a_product_is_far_where_its_distance_is(threshold):
+    """Products are compared with one bound in place of their distances: the last that is above the threshold, and hot cells are those of plain distances."""
+    low = dense._product_below(threshold)
+    assert 0.5 * (1 - low) > threshold >= 0.5 * (1 - np.nextafter(low, 2.0))
+    a, b = (side["patches"] for side in sides(40, 3))
+    d = 0.5 * (1 - np.clip(np.einsum("akpi,bkpi->abkp", a[0], b[0]), -1, 1))
+    assert (dense.patch_stats(a, b, 4, replace(SCALED, patch_hot_threshold=threshold))["hot"] == (d > threshold).sum(axis=(2, 3))).all()
