@@ -114,6 +114,7 @@ def sides(n, frames):
 @pytest.mark.parametrize(("part", "kernel", "most"), [
     ("patches", lambda a, b: dense.patch_stats(a, b, 4, SCALED), 155),
     ("frames", lambda a, b: dense.frame_stats(a, b, SCALED), 150),
+    ("patches", lambda a, b: dense.center_stats(a, b, 4, 2), 120),
 ])
 def test_a_pair_needs_few_bytes(part, kernel, most):
     """Distances of a tile are summed up one after the other, not kept for each frame, and counts are small numbers."""
