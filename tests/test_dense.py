@@ -116,6 +116,7 @@ def sides(n, frames):
     ("frames", lambda a, b: dense.frame_stats(a, b, SCALED), 150),
     ("patches", lambda a, b: dense.center_stats(a, b, 4, 2), 120),
     ("hashes", lambda a, b: dense.hash_stats(a, b, SCALED), 110),
+    ("hist", lambda a, b: dense.rounded(dense.colours(a, b)), 35),
 ])
 def test_a_pair_needs_few_bytes(part, kernel, most):
     """Distances of a tile are summed up one after the other, not kept for each frame, and counts are small numbers."""
